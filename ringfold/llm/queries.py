@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import simhash_dedup
+from . import simhash_dedup, substring_dedup
 
 QUERIES = {
+    "op9_substring_dedup": substring_dedup.query,
     "op10_simhash_dedup": simhash_dedup.query,
 }
 ORACLE: dict[str, str] = {}
