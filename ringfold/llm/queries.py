@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import simhash_dedup, substring_dedup
+from . import simhash_dedup, substring_dedup, url_filter
 
 QUERIES = {
+    "op1_url_filter": url_filter.query,
     "op9_substring_dedup": substring_dedup.query,
     "op10_simhash_dedup": simhash_dedup.query,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_url_filter": url_filter.SQL,
+}
