@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import simhash_dedup, substring_dedup, url_filter
+from . import simhash_dedup, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op5_warc": warc.query,
     "op9_substring_dedup": substring_dedup.query,
     "op10_simhash_dedup": simhash_dedup.query,
 }
