@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import kn_rules, quality_mil, simhash_dedup, substring_dedup, url_filter, warc
+from . import hmm_lm, kn_rules, quality_mil, simhash_dedup, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
     "op5_warc": warc.query,
     "op6_quality_mil": quality_mil.query,
+    "op7_hmm_lm": hmm_lm.query,
     "op8_kn_rules": kn_rules.query,
     "op9_substring_dedup": substring_dedup.query,
     "op10_simhash_dedup": simhash_dedup.query,
