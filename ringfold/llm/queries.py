@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import hmm_lm, kn_rules, quality_mil, simhash_dedup, substring_dedup, url_filter, warc
+from . import hmm_lm, kn_rules, mixing, quality_mil, sentencepiece_codec, simhash_dedup, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op3_sentencepiece": sentencepiece_codec.query,
+    "op4_mixing": mixing.query,
     "op5_warc": warc.query,
     "op6_quality_mil": quality_mil.query,
     "op7_hmm_lm": hmm_lm.query,
