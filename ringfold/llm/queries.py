@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import hmm_lm, kn_rules, mixing, quality_mil, sentencepiece_codec, simhash_dedup, substring_dedup, url_filter, warc
+from . import ann, hmm_lm, kn_rules, mixing, quality_mil, sentencepiece_codec, simhash_dedup, substring_dedup, url_filter, warc
 
 QUERIES = {
     "op1_url_filter": url_filter.query,
+    "op2_ann": ann.query,
     "op3_sentencepiece": sentencepiece_codec.query,
     "op4_mixing": mixing.query,
     "op5_warc": warc.query,
