@@ -173,7 +173,7 @@ def nearest(
     turn = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     few = every.where(F.size("v") == width).withColumn("turn", turn).where(F.col("turn") <= k + 1)
     members = few.select(F.pmod(F.xxhash64("v"), F.lit(shards)).alias("shard"), F.lit(False).alias("asks"), "id", "v")
-    asks = asked.where(F.size("v") == width).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long").alias("shard"), F.lit(True).alias("asks"), "id", "v")
+    asks = asked.where(F.size("v") == width).select(F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"), F.lit(True).alias("asks"), "id", "v")
     dealt = members.unionByName(asks).repartition(shards, "shard").sortWithinPartitions("shard", "asks", "id")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
