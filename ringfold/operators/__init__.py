@@ -1 +1,26 @@
+"""Operators over rank-addressed buffers."""
 
+from .communicator import Movement, Reductions, Result
+from .groups import Communicators, Group, RankRange
+from .p2p import PointToPoint
+from .plugins import Failures, Reproducible, Sorting, Sparse
+
+
+class Communicator(Movement, Reductions, Communicators, PointToPoint, Sorting, Sparse, Reproducible, Failures):
+    """All operations; plugins are further mixin classes, and on_error may be overridden."""
+
+    def on_error(self, error: Exception):
+        raise error
+
+    def abort(self, reason: str = "aborted"):
+        """Cancels all Spark jobs and raises."""
+        self.spark.sparkContext.cancelAllJobs()
+        self.on_error(RuntimeError(reason))
+
+
+def comm_world(spark, size: int | None = None) -> Communicator:
+    """The default communicator: as many ranks as the cluster runs tasks at once, or `size`."""
+    return Communicator(spark, size or spark.sparkContext.defaultParallelism)
+
+
+__all__ = ["Communicator", "Group", "RankRange", "Result", "comm_world"]
