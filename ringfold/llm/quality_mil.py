@@ -42,7 +42,9 @@ def passages(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     symbol = _SYMBOL[w.data]
     one = np.bincount(of_byte * _CLASSES + symbol, minlength=n * _CLASSES).reshape(n, _CLASSES)
     coarse = _COARSE[symbol]
-    two = np.bincount(of_byte[1:] * _PAIRS**2 + coarse[:-1] * _PAIRS + coarse[1:], minlength=n * _PAIRS**2).reshape(n, -1)
+    before = np.r_[np.zeros(1, coarse.dtype), coarse][: len(coarse)]
+    before[w.edges[:-1][w.edges[:-1] < len(coarse)]] = 0  # a text begins, whatever text lies before it
+    two = np.bincount(of_byte * _PAIRS**2 + before * _PAIRS + coarse, minlength=n * _PAIRS**2).reshape(n, -1)
     row = w.rows()
     of_word = first[row] + (np.arange(len(row)) - w.first[row]) // PASSAGE
     words = np.bincount(of_word, minlength=n)
