@@ -113,11 +113,11 @@ def mix(
 def realise(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs, each as often as the mix has it, with the columns of docs."""
     copies = mix(docs, **how)
-    kept = copies.where("copies <> 1").groupBy("id", "source").agg(F.max("copies").alias("copies"))
-    id_col, source_col = how.get("id_col", "doc_id"), how.get("source_col", "source")
-    same = docs[id_col].eqNullSafe(F.col("id")) & docs[source_col].eqNullSafe(kept["source"])
-    times = F.coalesce(kept["copies"], F.lit(1))
-    return docs.join(kept, same, "left").withColumn("__copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times.cast("int"))))).select(*(docs[c] for c in docs.columns))
+    kept = copies.where("copies <> 1").groupBy(F.col("id").alias("__id"), F.col("source").alias("__source")).agg(F.max("copies").alias("__copies"))
+    id_col, source_col = F.col(how.get("id_col", "doc_id")), F.col(how.get("source_col", "source"))
+    met = docs.join(kept, id_col.eqNullSafe(F.col("__id")) & source_col.eqNullSafe(F.col("__source")), "left")
+    times = F.coalesce("__copies", F.lit(1)).cast("int")
+    return met.withColumn("__copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
