@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
@@ -13,7 +15,12 @@ from pyspark.sql import DataFrame, SparkSession
 #: A word is a maximal run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that are turned into arrays at once.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+
+with contextlib.suppress(OSError, AttributeError):
+    # Else glibc, once arrays of some MB were freed, keeps such memory in each worker instead of giving it back.
+    ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True

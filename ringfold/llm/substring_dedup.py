@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import Words, chunks, whole, windows
 
 WIDTH = 50
-BLOCK_BYTES, RANGE_WINDOWS, BYTES_A_WORD = 8 << 20, 2_000_000, 6
+BLOCK_BYTES, RANGE_WINDOWS, BYTES_A_WORD = 4 << 20, 2_000_000, 6
 
 
 def squeezed(planes: np.ndarray) -> bytes:
