@@ -18,7 +18,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, written
 
 SEED, BLOCK_DOCS = 42, 4096
 ENTROPY, MAX_EPOCHS = 0.98, 2.0
@@ -75,28 +75,28 @@ def _turn(epoch: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), epoch, F.col("id")), 2)
 
 
-def mix(
-    docs: DataFrame, budget: int | None = None, target_entropy: float | None = ENTROPY, max_epochs: float | None = MAX_EPOCHS,
-    seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-) -> DataFrame:
-    """Every row of docs as (id, source, n_tokens, weight, epochs, copies); copies says how often the mix has the row.
+def _copies(seed: int) -> Column:
+    """How often the mix has a row that has met its source's plan."""
+    fits = F.when(F.col("rest") <= 0, 0).when(F.col("last").isNull() | (_turn(F.col("whole"), seed) <= F.col("last")), 1).otherwise(0)
+    return F.col("whole") + fits
 
-    Tokens are words. Without a budget the least repeated source is taken exactly once and no row gets 0 copies. A null
-    source is a source of its own. A null text has no tokens; a source without any weighs 0 and is taken once. Rows that
-    repeat an id (and source) have the same place in every permutation, so either all or none of them fit the rest.
-    """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"))
+
+def _meet(rows: DataFrame, plan: list[tuple]) -> DataFrame:
+    """Rows with id and source, and their source's plan: a row a source, so the rows are not shuffled."""
+    table = rows.sparkSession.createDataFrame(plan, "of string, weight double, epochs double, whole long, rest long, blocks long, last long")
+    table = F.broadcast(table) if len(plan) <= 100_000 else table
+    return rows.join(table, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+
+
+def _planned(rows: DataFrame, budget: int | None, target_entropy: float | None, max_epochs: float | None, seed: int) -> list[tuple]:
+    """For each source of (id, source, n_tokens): weight, epochs, whole epochs, tokens left for the last, blocks, and the
+    last place of its permutation that fits (null: all do)."""
     sums = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).collect()  # a row a source
     tokens = {r["source"]: r["tokens"] for r in sums}
     w = weights(tokens, exponent(tokens, target_entropy, max_epochs, budget))
     goes = epochs(tokens, w, budget)
-    plan = [(r["source"], w[r["source"]], goes[r["source"]], max(1, r["rows"] // BLOCK_DOCS)) for r in sums]
-    plan = [(s, x, g, int(g), int(round((g - int(g)) * tokens[s])), blocks) for s, x, g, blocks in plan]
-    spark = docs.sparkSession
-    table = spark.createDataFrame(plan, "of string, weight double, epochs double, whole long, rest long, blocks long")
-    # One row a source, and as many again on the driver: rows meet it without a shuffle if it is small.
-    met = rows.join(F.broadcast(table) if len(plan) <= 100_000 else table, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    placed = met.withColumn("turn", _turn(F.col("whole"), seed)).withColumn("block", (F.col("turn") / F.lit(2.0**62) * F.col("blocks")).cast("long"))
+    plan = [(r["source"], w[r["source"]], goes[r["source"]], int(goes[r["source"]]), int(round(goes[r["source"]] % 1 * tokens[r["source"]])), max(1, r["rows"] // BLOCK_DOCS), None) for r in sums]
+    placed = _meet(rows, plan).where("rest > 0").withColumn("turn", _turn(F.col("whole"), seed)).withColumn("block", (F.col("turn") / F.lit(2.0**62) * F.col("blocks")).cast("long"))
     up = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     by_block = placed.groupBy("source", "block", "rest").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(up), F.lit(0)))
     cut = by_block.where("before <= rest and before + n > rest").select(F.col("source").alias("of"), F.col("block").alias("cut"), "before")
@@ -104,20 +104,41 @@ def mix(
     inside = placed.select("source", "block", "turn", "n_tokens", "rest").join(cut, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("cut")))
     upto = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("turn"))
     last = inside.withColumn("upto", F.col("before") + upto).groupBy("source").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("turn"))).alias("last"), F.min("turn").alias("first"))
-    last = last.select(F.col("source").alias("of"), F.coalesce("last", F.col("first") - 1).alias("last"))
-    out = placed.join(last, F.col("source").eqNullSafe(F.col("of")), "left")
-    fits = F.when(F.col("rest") <= 0, 0).when(F.col("last").isNull() | (F.col("turn") <= F.col("last")), 1).otherwise(0)
-    return out.select("id", "source", "n_tokens", "weight", "epochs", (F.col("whole") + fits).alias("copies"))
-
-
-def realise(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, each as often as the mix has it, with the columns of docs."""
-    copies = mix(docs, **how)
-    kept = copies.where("copies <> 1").groupBy(F.col("id").alias("__id"), F.col("source").alias("__source")).agg(F.max("copies").alias("__copies"))
-    id_col, source_col = F.col(how.get("id_col", "doc_id")), F.col(how.get("source_col", "source"))
-    met = docs.join(kept, id_col.eqNullSafe(F.col("__id")) & source_col.eqNullSafe(F.col("__source")), "left")
-    times = F.coalesce("__copies", F.lit(1)).cast("int")
-    return met.withColumn("__copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    ends = {r["source"]: r["last"] if r["last"] is not None else r["first"] - 1 for r in last.collect()}  # a row a source
+    return [(*p[:-1], ends.get(p[0])) for p in plan]
+
+
+def _rows(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """(id, source, n_tokens), written once, as it is read for sums, for blocks and for the result."""
+    n = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    return written(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), n.alias("n_tokens")), "tokens")
+
+
+def mix(
+    docs: DataFrame, budget: int | None = None, target_entropy: float | None = ENTROPY, max_epochs: float | None = MAX_EPOCHS,
+    seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+) -> DataFrame:
+    """Every row of docs as (id, source, n_tokens, weight, epochs, copies); copies says how often the mix has the row.
+
+    Tokens are words. Without a budget the least repeated source is taken exactly once and no row gets 0 copies. A null
+    source is a source of its own. A null text has no tokens; a source without any weighs 0 and is taken once. Rows that
+    repeat an id (and source) have the same place in every permutation, so either all or none of them fit the rest.
+    """
+    rows = _rows(docs, id_col, source_col, text_col)
+    met = _meet(rows, _planned(rows, budget, target_entropy, max_epochs, seed))
+    return met.select("id", "source", "n_tokens", "weight", "epochs", _copies(seed).alias("copies"))
+
+
+def realise(
+    docs: DataFrame, budget: int | None = None, target_entropy: float | None = ENTROPY, max_epochs: float | None = MAX_EPOCHS,
+    seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+) -> DataFrame:
+    """The rows of docs, each as often as mix has it, with the columns of docs. The texts are not shuffled."""
+    plan = _planned(_rows(docs, id_col, source_col, text_col), budget, target_entropy, max_epochs, seed)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"))
+    times = _meet(rows, plan).withColumn("copies", _copies(seed).cast("int"))
+    out = times.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
