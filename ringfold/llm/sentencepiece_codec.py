@@ -87,25 +87,70 @@ def check(model: bytes) -> None:
             raise ValueError(f"{text[:40]!r} is encoded or decoded otherwise than by the sentencepiece library")
 
 
+class _Codec:
+    """A model as a worker uses it."""
+
+    def __init__(self, model: bytes):
+        from sentencepiece import sentencepiece_model_pb2 as proto
+        from tokenizers import pre_tokenizers
+
+        m = proto.ModelProto()
+        m.ParseFromString(model)
+        kinds, spec = proto.ModelProto.SentencePiece, m.normalizer_spec
+        self.tok, self.ref, self.prefix = build(model), reference(model), spec.add_dummy_prefix
+        # Where spaces stand single and inside a text, cutting before each space is cutting before each run, and is
+        # done without a normaliser and a regular expression.
+        own = any(p.type == kinds.USER_DEFINED for p in m.pieces)
+        self.plain = None
+        if self.tok.pre_tokenizer and self.prefix and not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and not own:
+            self.plain = build(model)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Metaspace(MARK, "first", True)
+        texts = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace(MARK, " ").encode() for p in m.pieces]
+        self.known = np.array([p.type in (kinds.BYTE, kinds.NORMAL) for p in m.pieces])
+        self.sizes = np.array([len(x) for x in texts], np.int64)
+        self.starts, self.flat = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(texts), np.uint8)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        plain = [bool(self.plain and t and t[0] != " " and t[-1] != " " and "  " not in t and MARK not in t) for t in texts]
+        one = iter(self.plain.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if p], add_special_tokens=False) if any(plain) else [])
+        two = iter(self.tok.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False) if not all(plain) else [])
+        return [next(one if p else two).ids for p in plain]
+
+    def decode(self, ids: list[int]) -> str:
+        """The pieces' bytes one after another; whatever else is among the ids, or is no UTF-8, is left to the library."""
+        at = np.array(ids, np.int64)
+        if not len(at) or (at.min() >= 0 and at.max() < len(self.known) and self.known[at].all()):
+            sizes = self.sizes[at]
+            ends = np.cumsum(sizes)
+            raw = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(sizes.sum()))].tobytes()
+            try:
+                return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode()
+            except UnicodeDecodeError:
+                pass
+        return self.tok.decode(ids, skip_special_tokens=False)
+
+
 @lru_cache(2)
-def _loaded(model: bytes, threads: int):
+def _loaded(model: bytes, threads: int) -> _Codec:
     os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "true")
-    return build(model), reference(model)
+    return _Codec(model)
 
 
 def encode_batch(model: bytes, texts: list[str], threads: int = THREADS, verify_every: int = VERIFY_EVERY) -> list[list[int]]:
     """Ids of each text. Of the texts one in `verify_every`, by their CRC, is encoded by both libraries."""
-    tok, ref = _loaded(model, threads)
-    found = [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    codec = _loaded(model, threads)
+    found = codec.encode(texts)
     for text, ids in zip(texts, found, strict=True):
-        if verify_every and zlib.crc32(text.encode()) % verify_every == 0 and ids != ref.encode(text):
+        if verify_every and zlib.crc32(text.encode()) % verify_every == 0 and ids != codec.ref.encode(text):
             raise ValueError(f"{text[:40]!r} is encoded otherwise than by the sentencepiece library")
     return found
 
 
 def decode_batch(model: bytes, ids: list[list[int]], threads: int = THREADS) -> list[str]:
-    return _loaded(model, threads)[0].decode_batch(ids, skip_special_tokens=False)
+    codec = _loaded(model, threads)
+    return [codec.decode(x) for x in ids]
 
 
 def _ids_array(ids: list[list[int]]) -> pa.Array:

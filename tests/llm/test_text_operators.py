@@ -386,6 +386,14 @@ def test_codec_edge_cases(edge, empty):
     assert sentencepiece_codec.encode(empty).count() == 0
 
 
+def test_decoding_of_any_ids():
+    model = sentencepiece_codec.default_model()
+    tok = sentencepiece_codec.build(model)
+    rng = np.random.default_rng(0)
+    many = [rng.integers(0, 32_000, n).tolist() for n in range(60)] + [rng.integers(0, 300, 20).tolist() for _ in range(20)]
+    assert sentencepiece_codec.decode_batch(model, many) == [tok.decode(x, skip_special_tokens=False) for x in many]
+
+
 def test_unigram_model_with_normaliser():
     """A hand-made unigram model with byte fallback and without a prefix; nothing is trained."""
     from sentencepiece import sentencepiece_model_pb2 as proto
