@@ -180,6 +180,50 @@ def test_pipeline_run(spark, sf):
     assert {r["quality"]: r["count"] for r in kept.collect()}.get(0, 0) < labels.where("quality = 0").count() / 2
 
 
+# Near-duplicates by shingle similarity
+
+
+def brute_similar(texts):
+    """Components of texts under five-word similarity of 0.8 or more, by comparing all pairs."""
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if sets[a] == sets[b] or (both and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both)):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+def test_pipeline_keeps_one_of_edited_copies(spark, sf):
+    """Edited copies from 0.7 to 1 similar, of all lengths, one large group, one common line; compared with all pairs."""
+    rng = random.Random(8)
+    say = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    line, texts = say(12), ["", None, " ", "a b", "A  b", "a b c"]
+    for n in [5, 6, 8, 9, 10, 12, 15, 20, 28, 40, 60, 90, 140, 250, 600, 1500]:
+        for edits in (0, 1, 1, 1, 2, 3, 5, max(1, n // 45), max(1, n // 40)):
+            base = say(n)
+            copy = list(base)
+            for _ in range(edits):
+                k = rng.randrange(len(copy)) if rng.random() < 0.6 else rng.choice([0, len(copy) - 1])
+                copy[k : k + rng.choice([0, 1])] = say(rng.choice([0, 1, 1]))
+            texts += [" ".join(base), " ".join(copy), " ".join(line + say(n)), " ".join([*copy, *say(n // 12)])]
+    base = say(120)
+    for _ in range(80):
+        copy = list(base)
+        for _ in range(rng.randrange(4)):
+            copy[rng.randrange(120)] = say(1)[0]
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t or "")) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, sf).select("doc_id").collect()}
+    root = brute_similar(texts)
+    assert kept == {k for k in range(len(texts)) if root[k] == k} and len(kept) < len(texts) * 0.8
+
+
 def test_every_operator_is_registered():
     names = list(queries.QUERIES)
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
