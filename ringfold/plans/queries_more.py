@@ -196,6 +196,18 @@ def neighbor_multi(comm, buf, spark, sf_dir):
     return graph.neighbor_alltoall(send_buf=buf.where("pos < 3"), send_count=1)
 
 
+# The same graphs, with whole buffers: a block is the buffer's size divided by the out-degree.
+@registered("c14_neighbor_ring_whole", ", h AS (SELECT rnk, value, n // 2 AS m, pos // (n // 2) AS k, pos % (n // 2) AS j FROM b, n) SELECT CAST(CASE WHEN k = 0 THEN (rnk + 4) % 5 ELSE (rnk + 1) % 5 END AS INTEGER) AS rnk, (1 - k) * m + j AS pos, value FROM h")
+def neighbor_ring_whole(comm, buf, spark, sf_dir):
+    return _ring(comm, spark).neighbor_alltoall(send_buf=buf)
+
+
+@registered("c14_neighbor_multi_edge_whole", "SELECT CAST((rnk + 1) % 5 AS INTEGER) AS rnk, pos, value FROM b")
+def neighbor_multi_whole(comm, buf, spark, sf_dir):
+    graph = Topology.from_out_edges(comm, edges(spark, {r: [(r + 1) % P] * 3 for r in range(P)}))
+    return graph.neighbor_alltoall(send_buf=buf)
+
+
 GRAPH = {1: [(2, 4), (3, 3), (2, 2)], 4: [(1, 7)]}
 GRAPH_SQL = "e(rnk, ord, peer, weight) AS (VALUES (1, 0, 2, 4), (1, 1, 3, 3), (1, 2, 2, 2), (4, 0, 1, 7))"
 

@@ -72,3 +72,11 @@ def test_default_communicator(spark):
     assert comm.size == spark.sparkContext.defaultParallelism and comm.is_root(0) and comm.num_numa_nodes(comm.ranks.selectExpr("rank", "rank div 2 as host")).first()["nodes"] == -(-comm.size // 2)
     with pytest.raises(RuntimeError):
         comm.abort()
+
+
+def test_neighbour_exchange_takes_whole_buffers(spark, sf):
+    from ringfold.plans import catalog
+
+    rows = spark.read.parquet(f"{sf}/orders.parquet").count()
+    for name in ("c14_neighbor_ring_whole", "c14_neighbor_multi_edge_whole"):
+        assert catalog.queries()[name](spark, sf).count() == rows, name
