@@ -28,7 +28,7 @@ def bfs_levels(edges: DataFrame, source: int, max_levels: int = 10_000) -> DataF
         seen = seen.unionByName(frontier)
         if level % EVERY == 0:
             seen = checkpointed(seen)
-    return seen
+    raise RuntimeError(f"there are vertices beyond level {max_levels - 1}: max_levels is too small")
 
 
 def suffix_array(chars: DataFrame, max_rounds: int = 64) -> DataFrame:

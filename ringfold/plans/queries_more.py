@@ -405,7 +405,7 @@ def bfs(comm, buf, spark, sf_dir):
     n = o.agg(F.count("*").alias("n"))
     both = F.array((F.col("o_orderkey") * 2 + F.col("o_custkey")) % F.col("n"), (F.col("o_orderkey") * 3 + 1) % F.col("n"))
     links = o.crossJoin(F.broadcast(n)).select(F.col("o_orderkey").alias("src"), F.explode(both).alias("dst"))
-    return algorithms.bfs_levels(links, 0, BFS_DEPTH)
+    return algorithms.bfs_levels(links, 0)
 
 
 @registered("e03_suffix_array", "WITH t AS (SELECT string_agg(n_name, ' ' ORDER BY n_nationkey) AS s FROM nation), i AS (SELECT s, unnest(range(length(s))) AS start FROM t) SELECT row_number() OVER (ORDER BY substr(s, start + 1)) - 1 AS slot, start FROM i")

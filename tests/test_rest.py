@@ -80,3 +80,11 @@ def test_neighbour_exchange_takes_whole_buffers(spark, sf):
     rows = spark.read.parquet(f"{sf}/orders.parquet").count()
     for name in ("c14_neighbor_ring_whole", "c14_neighbor_multi_edge_whole"):
         assert catalog.queries()[name](spark, sf).count() == rows, name
+
+
+def test_bfs_raises_where_levels_are_left(spark):
+    import pytest
+
+    path = spark.createDataFrame([(v, v + 1) for v in range(7)], "src long, dst long")
+    with pytest.raises(RuntimeError, match="max_levels"):
+        algorithms.bfs_levels(path, 0, 3)
