@@ -4,23 +4,23 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that are turned into arrays at once.
 CHUNK_BYTES = 1 << 20
-
-with contextlib.suppress(OSError, AttributeError):
-    # Else glibc, once arrays of some MB were freed, keeps such memory in each worker instead of giving it back.
-    ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-    pa.set_memory_pool(pa.system_memory_pool())
+#: A key that holds more than one row in so many is hot. There are fewer hot keys than this, whatever the input.
+HOT_KEYS = 256
 
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,7 +37,7 @@ def workspace(spark: SparkSession, name: str) -> str:
     """
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="ringfold-")
         spark.sparkContext._jsc.sc().conf().set("spark.checkpoint.dir", shared)
@@ -52,6 +52,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def met(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """The inner join of rows with table, which has one row a key and in `copies` how many of the `total` rows have it.
+
+    What belongs to hot keys is broadcast, as there are fewer than HOT_KEYS of them; only the other rows are dealt by key.
+    """
+    hot = F.col("copies") * HOT_KEYS > total
+    values = [c for c in table.columns if c not in (key, "copies")]
+    tagged = rows.join(F.broadcast(table.where(hot).select(key, *values, F.lit(True).alias("hot"))), key, "left")
+    rest = tagged.where("hot is null").select(*rows.columns).join(table.where(~hot).select(key, *values), key)
+    return tagged.where("hot").drop("hot").unionByName(rest)
+
+
+@cache
+def lean() -> None:
+    """For workers: else glibc, once arrays of some MB were freed, keeps such memory in each of them instead of giving it back."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads every input bit over all 64 bits; one to one."""
     h = h ^ (h >> np.uint64(30))
@@ -79,6 +99,7 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def chunks(texts: pa.Array, size: int = CHUNK_BYTES):
     """Slices (first row, texts) of about `size` bytes; a longer text stands alone."""
+    lean()
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     lengths = np.asarray(pa.compute.binary_length(texts).fill_null(0), dtype=np.int64)

@@ -1,12 +1,14 @@
-"""All pairs of texts whose five-word shingles have a similarity (Jaccard) of 0.8 or more, and one text of each group.
+"""All links between texts whose five-word shingles have a similarity (Jaccard) of 0.8 or more, and one text of each group.
 
 Two sets of a and b shingles that are so similar differ in at most (a + b) / 9 shingles. Shingles are dealt by their hash
 to m parts, more than may differ: then some parts are equal, and as long as one of the two sets leaves no more parts empty than
-there are to spare, one of the equal parts is not empty. A text sends a signature of each of its parts that is not empty; texts
-that leave more parts empty also send the first n div 5 + 1 of their shingles, of which similar sets share one. So each
-similar pair meets in a signature, and no pair is lost. m hangs on the sizes: scheme k is for pairs whose larger set
-has LEVELS[k] shingles up to LEVELS[k + 1] - 1. Of what meets, a sketch of parities gives at least how many shingles differ,
-and the pairs it leaves are compared by all shingles (64-bit hashes).
+there are to spare, two of the equal parts are not empty. A text sends a signature of each of its parts that is not empty; texts
+that leave more parts empty also send the first n div 5 + 2 of their shingles, of which similar sets share two. So each
+similar pair meets in two signatures, and no pair is lost. m hangs on the sizes: scheme k is for pairs whose larger set
+has LEVELS[k] shingles up to LEVELS[k + 1] - 1. Where a common line makes one signature common, its texts meet in pairs of
+signatures instead. Of what meets, parities of shingles give at least how many differ (256 bits at once where texts meet, then
+a sketch that grows with the text), and the pairs they leave are compared by all shingles (64-bit hashes). Links are looked for first where they are likely (tries of SimHashes, neighbours
+in a group); pairs that these have joined already are not compared.
 """
 
 from __future__ import annotations
@@ -19,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mix, whole, windows, written
-from .simhash_dedup import components
+from .common import Words, chunks, lean, met, mix, whole, windows, written
+from .components import components
 
 WIDTH = 5
 #: Bytes of text whose signatures one task compares, bytes of signatures that a task gathers before it sends them, and pairs that are compared at once.
 BYTES_A_BUCKET, GATHERED, PAIRS_AT_ONCE = 12_000_000, 24_000_000, 1 << 18
-#: Bits of the filter that spares most texts without a candidate from a shuffle; the join after it is exact.
-FILTER_BITS = 1 << 25
+#: Texts in a group above which its texts meet in pairs of signatures, and texts of a group that one task compares with each other.
+LARGE, TILE = 4096, 2048
+#: Texts whose keys are broadcast at most, when the sets of some are asked for; the keys of more are joined.
+BROADCAST_KEYS = 2_000_000
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -41,25 +45,25 @@ def _schemes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         m = differ + 1
         while m < smallest:
             q = math.exp(-smallest / m)
-            if m - differ - 1 >= m * q + 2 * math.sqrt(m * q):
+            if m - differ - 2 >= m * q + 2 * math.sqrt(m * q):
                 break
             m += 1 + m // 256
         parts.append(m)
-        spare.append(m - differ - 1)
+        spare.append(m - differ - 2)
     return np.array(levels), np.array(parts), np.array(spare)
 
 
 LEVELS, PARTS, SPARE = _schemes()
 
 
-def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct shingles of all texts, sorted within each text, and where each text's begin (n + 1)."""
     words = Words(texts, lower=True)
     h, rows = words.hashes(), words.rows()
-    found = windows(h, WIDTH)
-    ok = whole(words.first, words.counts, WIDTH, len(found))
+    found = windows(h, width)
+    ok = whole(words.first, words.counts, width, len(found))
     values, of = [found[ok]], [rows[: len(found)][ok]]
-    for few in range(1, WIDTH):  # all words of a shorter text are its one shingle
+    for few in range(1, width):  # all words of a shorter text are its one shingle
         short = np.flatnonzero(words.counts == few)
         if len(short):
             values.append(windows(h, few)[words.first[:-1][short]])
@@ -83,6 +87,34 @@ def names(v: np.ndarray, first: np.ndarray) -> np.ndarray:
     return mix(_sums(mix(v ^ _ODD), first) + np.diff(first).astype(np.uint64) * _ODD)
 
 
+def fingerprints(v: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The SimHash of each set: a bit is 1 if it is set in over half of the hashes; 0 for an empty set."""
+    ones = np.zeros((len(first) - 1, 64), np.int64)
+    some = np.flatnonzero(np.diff(first))
+    at = 0
+    while at < len(some):  # sets of about 2**18 shingles at once
+        end = max(at + 1, int(np.searchsorted(first[some], first[some[at]] + (1 << 18), "right")))
+        own = some[at:end]
+        a, z = first[own[0]], first[own[-1] + 1]
+        bits = np.unpackbits(np.ascontiguousarray(v[a:z]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones[own] = np.add.reduceat(bits, first[own] - a, axis=0, dtype=np.int64)
+        at = end
+    return np.packbits(2 * ones > np.diff(first)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def parities(v: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each set, whether an odd number of its shingles falls in each of 256 classes: four 64-bit numbers."""
+    n = len(first) - 1
+    odd = np.zeros((n, 4), np.uint64)
+    for a in range(0, n, 4096):
+        z = min(n, a + 4096)
+        own = v[first[a] : first[z]]
+        of = np.repeat(np.arange(z - a), np.diff(first[a : z + 1]))
+        counts = np.bincount(of * 256 + (own & np.uint64(255)).astype(np.int64), minlength=256 * (z - a))
+        odd[a:z] = np.packbits((counts & 1).astype(np.uint8).reshape(-1, 256), axis=1, bitorder="little").view(np.uint64)
+    return odd
+
+
 def signatures(v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(signature, which set) of all sets."""
     n, spread = np.diff(first), mix(v ^ _ODD)
@@ -104,7 +136,7 @@ def signatures(v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
         of.append(row)
         bare = chosen & (PARTS[k] - np.bincount(row, minlength=len(n)) > SPARE[k])
         at = np.arange(len(v)) - np.repeat(first[:-1], n)
-        lead = np.repeat(bare, n) & (at < np.repeat(n // 5 + 1, n))
+        lead = np.repeat(bare, n) & (at < np.repeat(n // 5 + 2, n))
         row = np.repeat(np.arange(len(n)), n)[lead]
         found.append(mix(spread[lead] ^ (k[row].astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C55)))
         of.append(row)
@@ -114,17 +146,21 @@ def signatures(v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    """(id, key, text) of each row; key is a hash of the text, so that a row is told by (id, key) without its text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("key"), text.alias("text"))
 
 
-def _meetings(docs: DataFrame) -> DataFrame:
-    """(id, node) of each row with an id, node naming its set; and (grp, node) of the sets that meet in a signature."""
+def _meetings(docs: DataFrame, width: int) -> DataFrame:
+    """(id, key, node, fp, n, p0..p3, sketch) of each row: node names its set of n shingles, fp is the set's SimHash, and the others its
+    parities; and (grp, node) of the sets that meet in a signature."""
     texts = _texts(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, total // BYTES_A_BUCKET)
+    names_ = ["bucket", "nodes", "sigs", "at"]
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, nodes, sigs, owners, seen, size = [], [], [], [], np.zeros(0, np.uint64), 0
+        sigs, owners, seen, size = [], [], np.zeros(0, np.uint64), 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             s, o = np.concatenate(sigs), np.concatenate(owners)
@@ -139,16 +175,18 @@ def _meetings(docs: DataFrame) -> DataFrame:
                     own, at = np.unique(o[a:z], return_inverse=True)
                     # 32 bits under the bucket's and 16 low bits of a signature, and the owner's place, 16 bits if that is enough.
                     wide = np.uint32 if len(own) > 1 << 16 else np.uint16
-                    yield pa.record_batch([pa.array([b], pa.int32()), pa.array([own.tobytes()]), pa.array([s[a:z].tobytes() + low[a:z].tobytes()]), pa.array([at.astype(wide).tobytes()])], ["bucket", "nodes", "sigs", "at"])
+                    yield pa.record_batch([pa.array([b], pa.int32()), pa.array([own.tobytes()]), pa.array([s[a:z].tobytes() + low[a:z].tobytes()]), pa.array([at.astype(wide).tobytes()])], names_)
 
         for batch in batches:
-            for start, part in chunks(batch.column(1)):
-                v, first = shingle_sets(part)
+            for start, part in chunks(batch.column(2)):
+                v, first = shingle_sets(part, width)
                 node = names(v, first)
-                own = batch.column(0).slice(start, len(part))
-                have = np.asarray(own.is_valid())
-                ids.append(np.asarray(own.drop_null(), dtype=np.int64))
-                nodes.append(node[have])
+                own, key = batch.column(0).slice(start, len(part)), np.asarray(batch.column(1).slice(start, len(part)), dtype=np.int64)
+                ids, none = np.asarray(own.fill_null(0), dtype=np.int64), np.asarray(own.is_null())
+                # Rows go along as one packed row, to any task: -1 - bucket.
+                numbers = np.stack([ids, key, none, fingerprints(v, first).view(np.int64), np.diff(first), *parities(v, first).view(np.int64).T])
+                sketches = pa.array([_sketch(v[first[k] : first[k + 1]]) for k in range(len(node))], pa.binary())
+                yield pa.record_batch([pa.array([-1 - int(node[0] % np.uint64(buckets))], pa.int32()), pa.array([node.tobytes()]), pa.array([numbers.tobytes()]), pa.array([_packed(sketches)])], names_)
                 fresh = np.zeros(len(node), bool)  # equal texts send once
                 fresh[np.unique(node, return_index=True)[1]] = True
                 fresh &= ~np.isin(node, seen)
@@ -162,18 +200,19 @@ def _meetings(docs: DataFrame) -> DataFrame:
                     sigs, owners, size = [], [], 0
         if sigs:
             yield from flush()
-        if ids:
-            i, n = np.concatenate(ids), np.concatenate(nodes)
-            for b in range(0, len(i), 4096):
-                yield pa.record_batch([pa.array([-1 - int(n[b] % np.uint64(buckets))], pa.int32()), pa.array([n[b : b + 4096].tobytes()]), pa.array([i[b : b + 4096].tobytes()]), pa.array([b""])], ["bucket", "nodes", "sigs", "at"])
+
+    columns = ["id", "key", "fp", "n", "p0", "p1", "p2", "p3", "sketch", "grp", "node"]
+    kinds = [pa.int64()] * 8 + [pa.binary()] + [pa.int64()] * 2
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         got: dict[int, list] = {}
         for batch in batches:
             for bucket, nodes, sigs, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket < 0:
-                    n, i = np.frombuffer(nodes, np.int64), np.frombuffer(sigs, np.int64)
-                    yield pa.record_batch([pa.array(i), pa.nulls(len(i), pa.int64()), pa.array(n)], ["id", "grp", "node"])
+                    n = len(nodes) // 8
+                    ids, key, none, *more = np.frombuffer(sigs, np.int64).reshape(9, n)
+                    yield pa.record_batch([pa.array(ids, mask=none != 0), *map(pa.array, [key, *more]), _unpacked(at, n), pa.nulls(n, pa.int64()), pa.array(np.frombuffer(nodes, np.int64))], columns)
                 else:
                     n = len(sigs) // 6
                     sig = np.frombuffer(sigs, np.uint32, n).astype(np.uint64) << np.uint64(16) | np.frombuffer(sigs, np.uint16, n, 4 * n)
@@ -191,12 +230,24 @@ def _meetings(docs: DataFrame) -> DataFrame:
             s, n = s[new], n[new]
             _, at, count = np.unique(s, return_inverse=True, return_counts=True)
             keep = count[at] > 1
-            s, n = mix(s[keep] + np.uint64(bucket) * _ODD).view(np.int64), n[keep]
+            s, n = mix(s[keep] + np.uint64((bucket * int(_ODD)) % (1 << 64))).view(np.int64), n[keep]
             for a in range(0, len(s), 65536):
-                yield pa.record_batch([pa.nulls(len(s[a : a + 65536]), pa.int64()), pa.array(s[a : a + 65536]), pa.array(n[a : a + 65536])], ["id", "grp", "node"])
+                k = len(s[a : a + 65536])
+                yield pa.record_batch([*(pa.nulls(k, t) for t in kinds[:9]), pa.array(s[a : a + 65536]), pa.array(n[a : a + 65536])], columns)
 
     sent = texts.mapInArrow(send, "bucket int, nodes binary, sigs binary, at binary")
-    return written(sent.repartition(buckets, "bucket").mapInArrow(meet, "id long, grp long, node long"), "meetings")
+    dealt = sent.repartitionById(buckets, F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket")))
+    return written(dealt.mapInArrow(meet, ", ".join(f"{c} {'binary' if c == 'sketch' else 'long'}" for c in columns)), "meetings")
+
+
+def _packed(blobs: pa.Array) -> bytes:
+    sizes = np.asarray(pa.compute.binary_length(blobs), np.int32)
+    return sizes.tobytes() + b"".join(x.as_buffer() for x in blobs)
+
+
+def _unpacked(blob: bytes, n: int) -> pa.Array:
+    ends = np.r_[0, np.cumsum(np.frombuffer(blob, np.int32, n))].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(blob[4 * n :])])
 
 
 def _sketch(own: np.ndarray) -> bytes:
@@ -225,27 +276,25 @@ def _are_similar(one: bytes, two: bytes) -> bool:
     return 5 * both >= 4 * (len(x) + len(y) - both)
 
 
-def _of_nodes(docs: DataFrame, live: DataFrame, make, name: str) -> DataFrame:
-    """(node, own): what make(shingles) gives for each of the nodes in live."""
-    spark = docs.sparkSession
-    places = np.array([r[0] for r in live.select(F.pmod("node", F.lit(FILTER_BITS)).cast("int")).distinct().toLocalIterator()], np.int64)
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
-    shared = spark.sparkContext.broadcast(bits.tobytes())
+def _sets(docs: DataFrame, nodes: DataFrame, live: DataFrame, width: int) -> DataFrame:
+    """(node, own): the shingles of each of the nodes in live."""
+    keys = nodes.join(live, "node", "left_semi").select(F.col("key").alias("k"))
+    keys = F.broadcast(keys) if live.count() <= BROADCAST_KEYS else keys
+    texts = _texts(docs)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe, seen = np.frombuffer(shared.value, np.uint8), set()
+        seen = set()
         for batch in batches:
             for _, part in chunks(batch.column(0)):
-                v, first = shingle_sets(part)
+                v, first = shingle_sets(part, width)
                 node = names(v, first).view(np.int64)
-                at = node % FILTER_BITS
-                rows = [k for k in np.flatnonzero((maybe[at >> 3] >> (at & 7).astype(np.uint8)) & 1).tolist() if node[k] not in seen and not seen.add(node[k])]
+                rows = [k for k in range(len(node)) if node[k] not in seen and not seen.add(node[k])]
                 for a in range(0, len(rows), 256):
                     some = rows[a : a + 256]
-                    yield pa.record_batch([pa.array(node[some]), pa.array([make(v[first[k] : first[k + 1]]) for k in some], pa.binary())], ["node", "own"])
+                    yield pa.record_batch([pa.array(node[some]), pa.array([v[first[k] : first[k + 1]].tobytes() for k in some], pa.binary())], ["node", "own"])
 
-    return written(_texts(docs).select("text").mapInArrow(each, "node long, own binary").join(live, "node", "left_semi").dropDuplicates(["node"]), name)
+    asked = texts.join(keys, texts["key"] == F.col("k"), "left_semi").select("text")
+    return written(asked.mapInArrow(each, "node long, own binary").dropDuplicates(["node"]), "sets")
 
 
 def _compared(pairs: DataFrame, own: DataFrame, test, name: str) -> DataFrame:
@@ -260,67 +309,127 @@ def _compared(pairs: DataFrame, own: DataFrame, test, name: str) -> DataFrame:
     return written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(each, "a long, b long"), name)
 
 
-def similar(docs: DataFrame, pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) whose sets have a similarity of 0.8 or more."""
-    left = _compared(pairs, sketches, _may_be_similar, "left")
+    left = _compared(pairs, nodes.select("node", F.col("sketch").alias("own")), _may_be_similar, "left")
     live = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return _compared(left, _of_nodes(docs, live, lambda own: own.tobytes(), "sets"), _are_similar, "similar")
+    return _compared(left, _sets(docs, nodes, live, width), _are_similar, "similar")
 
 
-def _chains(groups: DataFrame) -> DataFrame:
-    """Each set of a group with the next one."""
-    ahead = F.expr("transform(sequence(1, size(xs) - 1), k -> struct(xs[k - 1] as a, xs[k] as b))")
-    return groups.groupBy("grp").agg(F.array_sort(F.collect_list("node")).alias("xs")).select(F.explode(ahead).alias("x")).select("x.*").distinct()
+def _narrowed(groups: DataFrame) -> DataFrame:
+    """Groups of more than LARGE sets replaced by those that meet in one more signature: similar sets meet in two."""
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("copies"))
+    total, most = sizes.agg(F.sum("copies"), F.max("copies")).first()
+    if (most or 0) <= LARGE:
+        return groups
+    many = sizes.where(F.col("copies") > LARGE)
+    large = met(groups, many, "grp", total)
+    twice = large.join(groups.withColumnRenamed("grp", "other"), "node").where("grp <> other")
+    pairs = twice.select(F.xxhash64(F.least("grp", "other"), F.greatest("grp", "other")).alias("grp"), "node").distinct()
+    few = met(groups, sizes.where(F.col("copies") <= LARGE), "grp", total)
+    return written(few.unionByName(pairs), "groups")
 
 
-def _apart(groups: DataFrame, named: DataFrame) -> DataFrame:
-    """All pairs of a group that the components in `named` do not join yet."""
-    of = groups.join(named.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("grp", "node", F.coalesce("component", "node").alias("component"))
-    open_ = of.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("grp")
+def _chains(groups: DataFrame) -> DataFrame:
+    """Each set of a group with the next one. Rows are dealt by ranges, so a large group is in several tasks (and a link between them is left out)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            g, n = np.r_[g, batch.column(0).to_numpy()], np.r_[n, batch.column(1).to_numpy()]
+            next_ = (g[1:] == g[:-1]) & (n[1:] != n[:-1])
+            yield pa.record_batch([pa.array(n[:-1][next_]), pa.array(n[1:][next_])], ["a", "b"])
+            g, n = g[-1:], n[-1:]
+
+    return groups.select("grp", "node").repartitionByRange("grp", "node").sortWithinPartitions("grp", "node").mapInArrow(each, "a long, b long").distinct()
+
+
+def _apart(groups: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
+    """The pairs of a group that the components in `named` do not join yet, as far as sizes and parities let them be similar."""
+    facts = ["n", "p0", "p1", "p2", "p3"]
+    named = nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"), *facts)
+    sizes = groups.join(named.select("node", "component"), "node").groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("copies"))
+    open_ = written(sizes.where("low <> high").select("grp", "copies", F.ceil(F.col("copies") / TILE).cast("int").alias("tiles")), "open")
+    total = groups.count()
+    # A large group is cut in tiles, and each pair of tiles goes to a task of its own.
+    tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
+    tiled = met(groups, open_, "grp", total).withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = tiled.select(F.xxhash64("grp", F.least("tile", "other"), F.greatest("tile", "other")).alias("grp"), "node", "tile", (F.col("tile") == F.col("other")).alias("same"))
+    dealt = dealt.join(named, "node").select("grp", "node", "component", "tile", "same", *facts)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         if not (found := list(batches)):
             return
-        grp, node, comp = (pa.Table.from_batches(found).column(k).to_numpy() for k in range(3))
-        order = np.lexsort((node, grp))
-        grp, node, comp = grp[order], node[order], comp[order]
-        ends = np.searchsorted(grp, grp, "right")
+        grp, node, comp, tile, same, size, *odd = (c.to_numpy() for c in pa.Table.from_batches(found).columns)
+        order = np.lexsort((node, comp, grp))
+        grp, node, comp, tile, same, size = (x[order] for x in (grp, node, comp, tile, same, size))
+        odd = np.stack([x[order].view(np.uint64) for x in odd], axis=1)  # bits of a negative number are counted without its sign
+        last = np.searchsorted(grp, grp, "right")
+        starts = np.flatnonzero(np.r_[True, (grp[1:] != grp[:-1]) | (comp[1:] != comp[:-1])])
+        after = np.repeat(np.r_[starts[1:], len(grp)], np.diff(np.r_[starts, len(grp)]))  # where a row's component ends
+        many = np.cumsum(last - after)
         k = 0
         while k < len(grp):
-            z = k + max(1, int(np.searchsorted(np.cumsum(ends[k:] - np.arange(k, len(grp)) - 1), PAIRS_AT_ONCE, "right")))
-            n = ends[k:z] - np.arange(k, z) - 1
+            z = max(k + 1, int(np.searchsorted(many, (many[k - 1] if k else 0) + PAIRS_AT_ONCE, "right")))
+            n = last[k:z] - after[k:z]
             i = np.repeat(np.arange(k, z), n)
-            j = i + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            apart = comp[i] != comp[j]
-            pairs = np.unique(np.stack([node[i[apart]], node[j[apart]]], 1), axis=0)
+            j = np.repeat(after[k:z], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            ok = ((tile[i] != tile[j]) | same[i]) & (5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j]))
+            i, j = i[ok], j[ok]
+            ok = 9 * np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= size[i] + size[j]
+            i, j = i[ok], j[ok]
+            pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
             k = z
 
-    return of.join(open_, "grp", "left_semi").repartition("grp").mapInArrow(each, "a long, b long").distinct()
+    tasks = max(groups.sparkSession.sparkContext.defaultParallelism, total // 200_000)
+    return dealt.repartition(tasks, "grp").mapInArrow(each, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(id, component long) of every row with an id: component is the smallest id that links lead to.
+def near_duplicates(docs: DataFrame, width: int = WIDTH, tries=None) -> DataFrame:
+    """(id, key, times, component) of the distinct (id, text) in docs: key is a hash of the text, times how many rows have both.
 
-    Texts with equal sets are linked, so also all that are null, empty or without words.
-    """
-    met = _meetings(docs)
-    ids, groups = met.where("grp is null").select("id", "node"), met.where("grp is not null").select("grp", "node")
-    sketches = _of_nodes(docs, groups.select("node").distinct(), _sketch, "sketches")
-    # First neighbours in each group; then whatever meets and is not in one component yet.
-    found = similar(docs, _chains(groups), sketches)
-    found = found.unionByName(similar(docs, _apart(groups, components(found)), sketches))
-    named = components(found)
-    of_node = ids.groupBy("node").agg(F.min("id").alias("least_id")).join(named, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component"))
-    least = of_node.groupBy("component").agg(F.min("least_id").alias("smallest"))
-    of_node = of_node.join(least, "component").select("node", F.col("smallest").alias("component"))
-    return ids.join(of_node, "node").select("id", "component")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id names their component, with the columns of docs; rows that repeat this id stay together.
-
-    Rows with a null doc_id stay: nothing names them.
+    Components are those of all links of a similarity of 0.8 or more, and named by a set. Texts with equal sets are linked,
+    so also all that are null, empty or without words. tries(fps, n), if given, brings the first links, (a, b) between the
+    n distinct fingerprints in column fp; they are compared like any others.
     """
-    gone = near_duplicates(docs).where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    met_ = _meetings(docs, width)
+    facts = ["node", "n", "p0", "p1", "p2", "p3", "sketch"]
+    rows = met_.where("grp is null").groupBy("id", "key", "node").agg(F.count("*").alias("times"))
+    nodes = written(met_.where("grp is null").groupBy(*facts).agg(F.min("key").alias("key"), F.min("fp").alias("fp")), "nodes")
+    groups = _narrowed(met_.where("grp is not null").select("grp", "node"))
+    likely = _chains(groups)
+    if tries is not None:
+        # One set stands for all of its fingerprint in links of fingerprints; within a fingerprint sets are neighbours.
+        classes = nodes.groupBy("fp").agg(F.min("node").alias("node"))
+        linked = written(tries(classes.select("fp"), classes.count()), "tries")
+        end = lambda c: classes.select(F.col("fp").alias(c), F.col("node").alias(f"{c}_node"))
+        pairs = linked.join(end("a"), "a").join(end("b"), "b").select(F.least("a_node", "b_node").alias("a"), F.greatest("a_node", "b_node").alias("b"))
+        likely = _chains(nodes.select(F.col("fp").alias("grp"), "node")).union(pairs).union(likely).distinct()
+    found = similar(docs, nodes, likely, width)
+    rest = _apart(groups, nodes, written(components(found), "joined"))
+    found = found.unionByName(similar(docs, nodes, rest, width))
+    rows = written(rows, "rows")
+    named = rows.groupBy("node").agg(F.count("*").alias("copies")).join(components(found), "node", "left")
+    named = named.select("node", F.coalesce("component", "node").alias("component"), "copies")
+    return written(met(rows, named, "node", rows.count()).drop("node"), "named")
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, tries=None) -> DataFrame:
+    """One row of each component of near_duplicates: that of the smallest doc_id (see simhash_dedup.keep_one)."""
+    named = near_duplicates(docs, width, tries)
+    heads = named.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("head"), F.count("*").alias("copies"))
+    judged = met(named, heads, "component", named.count())
+    stays = F.col("id").eqNullSafe(F.col("head.id")) & (F.col("key") == F.col("head.key"))
+    gone = judged.where(~stays).select(F.col("id").alias("i"), F.col("key").alias("k"))
+    again = written(judged.where(stays & (F.col("times") > 1)).select(F.col("id").alias("i"), F.col("key").alias("k")), "again")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("key"))
+    same = lambda t: own_["id"].eqNullSafe(t["i"]) & (own_["key"] == t["k"])
+    own_ = own
+    out = own.join(gone, same(gone), "left_anti")
+    if not again.isEmpty():
+        own_ = out
+        one = out.join(again, same(again), "left_semi").groupBy("id", "key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        out = out.join(again, same(again), "left_anti").select("row").unionByName(one.select("row"))
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

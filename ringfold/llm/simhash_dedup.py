@@ -4,7 +4,7 @@ Fingerprints are 64-bit SimHashes of word shingles. A trie over the distinct fin
 pairs of nodes are walked down together, the bits in which they differ are summed up, and a pair is pruned as soon as the
 sum exceeds the budget. The trie is dealt to tasks by what a matching pair must share: with k bits to differ and the 64 bits
 cut into k + t blocks, some t blocks are equal, so one trie for each choice of t blocks, with these blocks on top, finds
-the pair below a common node. That node's subtrie is one group; a group over `group_rows` is cut again into pairs of subtries.
+the pair below a common node. That node's subtrie is one group; a group over `group_rows` is cut into pairs of subtries, and these again.
 """
 
 from __future__ import annotations
@@ -18,7 +18,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from . import shingle_join
+from .common import lean, met, written
+from .components import components
 
 SEED = 42
 ROWS_A_TASK = 200_000
@@ -164,26 +166,27 @@ def _split(fp: np.ndarray, low: np.ndarray, high: np.ndarray, bit: np.ndarray) -
     return low
 
 
-def links(distinct: DataFrame, budget: int = 4, group_rows: int = 32_768) -> DataFrame:
-    """(a, b long) between distinct fingerprints in column fp: their components are those of all links of `budget` bits."""
-    rows = distinct.count()
+def links(distinct: DataFrame, budget: int = 4, group_rows: int = 32_768, rows: int | None = None) -> DataFrame:
+    """(a, b long) between distinct fingerprints in column fp: their components are those of all links of `budget` bits.
+
+    rows: the number of fingerprints, if it is known.
+    """
+    rows = distinct.count() if rows is None else rows
     blocks, t = _blocks(budget, rows)
     choices = list(combinations(range(len(blocks)), t))
     masks = [sum(((1 << blocks[k][1]) - 1) << blocks[k][0] for k in c) for c in choices]
     signed = lambda m: m - (1 << 64) if m >> 63 else m
+    free = [[low + b for k, (low, bits) in enumerate(blocks) if k not in c for b in range(bits)] for c in choices]
     dealt = distinct.select("fp", F.explode(F.array(*(F.struct(F.lit(k).alias("choice"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("shared")) for k, m in enumerate(masks)))).alias("x")).select("fp", "x.*")
-    # Of a large group, the pairs of subtries that 6 more bits tell apart are groups of their own.
-    sizes = dealt.groupBy("choice", "shared").count().where(F.col("count") > group_rows).select("choice", "shared", F.lit(True).alias("large"))
-    free = F.element_at(F.array(*(F.lit(blocks[next(k for k in range(len(blocks)) if k not in c)][0]) for c in choices)), F.col("choice") + 1)
-    six = F.expr("shiftrightunsigned(fp, free)").bitwiseAND(F.lit(63))
-    near = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda o: F.bit_count(o.bitwiseXOR(F.col("six"))) <= budget)
-    cut = (
-        dealt.join(sizes, ["choice", "shared"], "left").withColumn("free", free).withColumn("six", F.when(F.col("large"), six.cast("int")))
-        .withColumn("other", F.explode(F.when(F.col("large"), near).otherwise(F.array(F.lit(-1)))))
-        .select("choice", "fp", F.xxhash64("choice", "shared", F.least("six", "other"), F.greatest("six", "other")).alias("grp"), F.when(F.col("six") > F.col("other"), 1).otherwise(0).alias("side"))
-    )
+    groups = dealt.select("choice", "fp", F.xxhash64("choice", "shared").alias("grp"), F.lit(0).alias("side"), F.lit(False).alias("two"), F.lit(budget).alias("left"))
+    for level in range(min(map(len, free)) // 6):
+        large = groups.groupBy("grp").count().where(F.col("count") > group_rows).select("grp")
+        if large.isEmpty():
+            break
+        groups = written(_cut(groups, large, [f[6 * level : 6 * level + 6] for f in free]), "groups")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         if not (found := list(batches)):
             return
         table = pa.Table.from_batches(found)
@@ -200,30 +203,26 @@ def links(distinct: DataFrame, budget: int = 4, group_rows: int = 32_768) -> Dat
         yield pa.record_batch([pa.array(own[linked]), pa.array(own[root[linked]])], ["a", "b"])
 
     tasks = max(distinct.sparkSession.sparkContext.defaultParallelism, rows * len(choices) // ROWS_A_TASK)
-    return cut.repartition(tasks, "grp").mapInArrow(each, "a long, b long")
+    return groups.select("choice", "fp", "grp", "side").repartition(tasks, "grp").mapInArrow(each, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component long) of all nodes that are not the smallest of their component; edges: (a, b long).
+def _cut(groups: DataFrame, large: DataFrame, places: list[list[int]]) -> DataFrame:
+    """Of each large group the pairs of subtries that six more bits (places, by choice) tell apart, as groups of their own.
 
-    Alternates large and small stars: each node hangs its larger neighbours, then its smaller ones, to the smallest of
-    them. Every step is a join and an aggregate, written to the shared folder; nothing is gathered on the driver.
+    A trie that is joined with itself gives unordered pairs of its subtries; two tries give pairs of one's with the other's.
+    Pairs whose six bits already differ too much are left out.
     """
-    pairs = lambda u, v: F.array(F.struct(u.alias("u"), v.alias("v")))
-    stars = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    seen = None
-    for _ in range(rounds):
-        both = stars.select(F.explode(F.concat(pairs(F.col("u"), F.col("v")), pairs(F.col("v"), F.col("u")))).alias("x")).select("x.*")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.concat(pairs(F.col("v"), F.col("m")), pairs(F.col("u"), F.col("m")))).alias("x")).select("x.*").where("u <> v").distinct()
-        stars = written(small, "stars")
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = now
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+    place = lambda k: F.element_at(F.array(*(F.lit(p[k]) for p in places)), F.col("choice") + 1)
+    bit = lambda k: F.call_function("shiftrightunsigned", F.col("fp"), place(k)).bitwiseAND(F.lit(1)).cast("int") * (1 << k)
+    six = sum((bit(k) for k in range(1, 6)), bit(0))
+    near = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda o: F.bit_count(o.bitwiseXOR(F.col("six"))) <= F.col("left"))
+    split = groups.join(large, "grp", "left_semi").withColumn("six", six).withColumn("other", F.explode(near))
+    one, two = ~F.col("two") | (F.col("side") == 0), F.col("two")
+    a = F.when(two, F.when(one, F.col("six")).otherwise(F.col("other"))).otherwise(F.least("six", "other"))
+    b = F.when(two, F.when(one, F.col("other")).otherwise(F.col("six"))).otherwise(F.greatest("six", "other"))
+    side = F.when(two, F.col("side")).otherwise((F.col("six") > F.col("other")).cast("int"))
+    small = split.select("choice", "fp", F.xxhash64("grp", a, b).alias("grp"), side.alias("side"), (two | (F.col("six") != F.col("other"))).alias("two"), (F.col("left") - F.bit_count(F.col("six").bitwiseXOR(F.col("other")))).cast("int").alias("left"))
+    return groups.join(large, "grp", "left_anti").select(small.columns).unionByName(small)
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,21 +232,27 @@ def near_duplicates(docs: DataFrame, width: int = 4, budget: int = 4, id_col: st
     id are linked by their own fingerprints each. A null id never becomes the name of a component unless all its ids are null.
     """
     fps = written(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("id").alias("least_id"))
-    found = components(links(classes.select("fp"), budget))
-    named = classes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least_id", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.min("least_id").alias("smallest"))
-    of_fp = named.join(least, "component").select("fp", F.col("smallest").alias("component"))
-    return fps.join(of_fp, "fp").select("id", "fp", "component")
+    classes = written(fps.groupBy("fp").agg(F.min("id").alias("least_id"), F.count("*").alias("copies")), "classes")
+    distinct, rows = classes.agg(F.count("*"), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    found = components(links(classes.select("fp"), budget, rows=distinct))
+    named = classes.join(found.select(F.col("node").alias("fp"), "component"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = named.groupBy("component").agg(F.min("least_id").alias("smallest"), F.count("*").alias("copies"))
+    of_fp = met(named.select("fp", F.col("copies").alias("n"), "component"), least, "component", distinct)
+    return met(fps, of_fp.select("fp", F.col("smallest").alias("component"), F.col("n").alias("copies")), "fp", rows).select("id", "fp", "component")
+
 
+def keep_one(docs: DataFrame, width: int = 5, budget: int = 4) -> DataFrame:
+    """One row of each group of near-duplicates in docs (doc_id, text, and any other columns), with the columns of docs.
 
-def keep_one(docs: DataFrame, width: int = 4, budget: int = 4) -> DataFrame:
-    """The rows of docs whose doc_id names their component, with the columns of docs; rows that repeat this id stay together.
+    The tries give the first links, of `budget` bits between SimHashes of `width` words; a link counts if the texts' shingle
+    sets have a similarity (Jaccard) of 0.8 or more. As such sets can differ in any number of bits, an exact join of the
+    sets then finds what links the tries left out, so no link is lost.
 
-    Rows with a null doc_id stay: nothing names them.
+    Rows are judged one by one, by their own texts: the row with the smallest doc_id stays. Of rows that repeat a doc_id and
+    a text one stays; a row without a doc_id stays only if its whole group has none. Null, empty and wordless texts are one
+    group.
     """
-    gone = near_duplicates(docs, width, budget).where("id is not null and id <> component").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    return shingle_join.keep_one(docs, width, lambda fps, n: links(fps, budget, rows=n))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ringfold.llm import hmm_lm, kn_rules, mixing, quality_mil, sentencepiece_codec, simhash_dedup, substring_dedup
+from ringfold.llm import hmm_lm, kn_rules, mixing, quality_mil, sentencepiece_codec, shingle_join, simhash_dedup, substring_dedup
 from ringfold.llm.common import Words, windows, workspace
 
 from .conftest import edge_rows
@@ -92,13 +93,55 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_keep_one(edge, empty):
+    """One row of each group: neither copies, nor repeated rows, nor copies without an id stay beside it."""
     kept = simhash_dedup.keep_one(edge)
     assert kept.columns == edge.columns
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
-    assert ids.count(0) == 2 and 1 not in ids and 4 not in ids and ids.count(None) == 2
+    assert ids.count(0) == 1 and 1 not in ids and 4 not in ids and ids.count(None) == 0 and ids.count(3) == 1
     assert simhash_dedup.keep_one(empty).count() == 0
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    rng = random.Random(4)
+    a, b, c = (" ".join(f"w{rng.randrange(900)}" for _ in range(60)) for _ in range(3))
+    frame = spark.createDataFrame([(7, a, 1), (7, b, 2), (3, b, 3), (None, c, 4), (None, c, 4), (9, a.upper(), 5), (7, a, 6)], "doc_id long, text string, `a.b` int")
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in simhash_dedup.keep_one(frame).collect())
+    assert kept == sorted([(7, a), (3, b), (0, c)])
+
+
+def test_hot_signatures_lose_no_pair(spark, monkeypatch):
+    """Texts with a common line, in groups cut into pairs of signatures and tiles."""
+    monkeypatch.setattr(shingle_join, "LARGE", 5)
+    monkeypatch.setattr(shingle_join, "TILE", 4)
+    rng = random.Random(6)
+    say = lambda n: [f"w{rng.randrange(4000)}" for _ in range(n)]
+    line, texts = say(9), []
+    for n in (4, 8, 20, 45) * 12:
+        base = say(n)
+        texts += [[*line, *base], [*line, *base[:-1], *say(1)]]
+    frame = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    kept = {r["doc_id"] for r in simhash_dedup.keep_one(frame).collect()}
+    assert kept == {k for k in range(len(texts)) if root[k] == k} and len(kept) < len(texts)
+
+
+def test_sets_fingerprints():
+    import pyarrow as pa
+
+    texts = [t for _, t, *_ in edge_rows()]
+    v, first = shingle_join.shingle_sets(pa.array(texts, pa.string()))
+    got = shingle_join.fingerprints(v, first)
+    for k in range(len(texts)):
+        own = v[first[k] : first[k + 1]].tolist()
+        assert int(got[k]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own))
+
+
 # Substring dedup
 
 
