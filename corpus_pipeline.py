@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfold.llm import mixing, quality_mil, sentencepiece_codec, shingle_join, substring_dedup
+from ringfold.llm import mixing, quality_mil, sentencepiece_codec, simhash_dedup, substring_dedup
 from ringfold.llm.common import written
 
 
@@ -20,11 +20,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links of a five-word shingle similarity of 0.8 or more hold together.
+    """One row of each group that links of a five-word shingle similarity of 0.8 or more hold together.
 
-    The join is exact: a trie of SimHashes, of any budget of bits, would only find some of its pairs.
+    Tries of SimHashes bring the first links; an exact join of the shingles brings those that differ in more bits.
     """
-    return shingle_join.keep_one(docs)
+    return simhash_dedup.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
