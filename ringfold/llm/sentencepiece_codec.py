@@ -3,8 +3,10 @@
 The model's protobuf gives the normaliser, the pieces with their scores and kinds, and the switches for the dummy prefix and
 byte fallback. A unigram model keeps its scores; of a byte-pair model every way to make a piece of two pieces is a merge,
 ranked by the piece's score. Where no piece has the space marker after another character, texts are cut before each run of
-markers, which changes no result and lets words be cached. Results are compared with the sentencepiece library: on probes
-when a model is loaded, and on the texts that a hash picks while encoding; a difference is an error.
+markers, which changes no result and lets words be cached. Batches are encoded and decoded by the tokenizers library's own
+threads. Results are compared with the sentencepiece library: on probes when a model is loaded, and, both ways, on the texts
+that a hash picks; where a model normalises nothing, every text is also compared with what its ids decode to. A difference
+is an error.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import hashlib
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -80,11 +82,9 @@ def reference(model: bytes):
 
 def check(model: bytes) -> None:
     """Raises ValueError if a probe is encoded or decoded otherwise than by the sentencepiece library."""
-    tok, ref = build(model), reference(model)
-    for text in PROBES:
-        ids = tok.encode(text, add_special_tokens=False).ids
-        if ids != ref.encode(text) or tok.decode(ids, skip_special_tokens=False) != ref.decode(ids):
-            raise ValueError(f"{text[:40]!r} is encoded or decoded otherwise than by the sentencepiece library")
+    codec = _Codec(model)
+    found = codec.encode(list(PROBES))
+    codec.verify(PROBES, found, codec.decode(found), 1)
 
 
 class _Codec:
@@ -106,10 +106,8 @@ class _Codec:
             self.plain = build(model)
             self.plain.normalizer = None
             self.plain.pre_tokenizer = pre_tokenizers.Metaspace(MARK, "first", True)
-        texts = [bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else p.piece.replace(MARK, " ").encode() for p in m.pieces]
-        self.known = np.array([p.type in (kinds.BYTE, kinds.NORMAL) for p in m.pieces])
-        self.sizes = np.array([len(x) for x in texts], np.int64)
-        self.starts, self.flat = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(texts), np.uint8)
+        # Then only the marker itself is read as something else, a space.
+        self.whole = self.prefix and m.trainer_spec.byte_fallback and not spec.precompiled_charsmap and not spec.remove_extra_whitespaces and not own
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         plain = [bool(self.plain and t and t[0] != " " and t[-1] != " " and "  " not in t and MARK not in t) for t in texts]
@@ -117,18 +115,17 @@ class _Codec:
         two = iter(self.tok.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False) if not all(plain) else [])
         return [next(one if p else two).ids for p in plain]
 
-    def decode(self, ids: list[int]) -> str:
-        """The pieces' bytes one after another; whatever else is among the ids, or is no UTF-8, is left to the library."""
-        at = np.array(ids, np.int64)
-        if not len(at) or (at.min() >= 0 and at.max() < len(self.known) and self.known[at].all()):
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            raw = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(int(sizes.sum()))].tobytes()
-            try:
-                return (raw[1:] if self.prefix and raw[:1] == b" " else raw).decode()
-            except UnicodeDecodeError:
-                pass
-        return self.tok.decode(ids, skip_special_tokens=False)
+    def decode(self, ids: list[list[int]]) -> list[str]:
+        return self.tok.decode_batch(ids, skip_special_tokens=False)
+
+    def verify(self, texts: Sequence[str], ids: list[list[int]], decoded: list[str] | None, every: int) -> None:
+        """Of the texts one in `every`, by their CRC, must have the sentencepiece library's ids and be decoded as it does."""
+        for k, (text, own) in enumerate(zip(texts, ids, strict=True)):
+            wrong = decoded is not None and self.whole and decoded[k] != text.replace(MARK, " ")
+            if every and zlib.crc32(text.encode()) % every == 0:
+                wrong = wrong or own != self.ref.encode(text) or (decoded is not None and decoded[k] != self.ref.decode(own))
+            if wrong:
+                raise ValueError(f"{text[:40]!r} is encoded or decoded otherwise than by the sentencepiece library")
 
 
 @lru_cache(2)
@@ -142,15 +139,21 @@ def encode_batch(model: bytes, texts: list[str], threads: int = THREADS, verify_
     """Ids of each text. Of the texts one in `verify_every`, by their CRC, is encoded by both libraries."""
     codec = _loaded(model, threads)
     found = codec.encode(texts)
-    for text, ids in zip(texts, found, strict=True):
-        if verify_every and zlib.crc32(text.encode()) % verify_every == 0 and ids != codec.ref.encode(text):
-            raise ValueError(f"{text[:40]!r} is encoded otherwise than by the sentencepiece library")
+    codec.verify(texts, found, None, verify_every)
     return found
 
 
 def decode_batch(model: bytes, ids: list[list[int]], threads: int = THREADS) -> list[str]:
+    return _loaded(model, threads).decode(ids)
+
+
+def round_trip(model: bytes, texts: list[str], threads: int = THREADS, verify_every: int = VERIFY_EVERY) -> tuple[list[list[int]], list[str]]:
+    """Ids of each text and what they decode to, both compared (see above)."""
     codec = _loaded(model, threads)
-    return [codec.decode(x) for x in ids]
+    ids = codec.encode(texts)
+    decoded = codec.decode(ids)
+    codec.verify(texts, ids, decoded, verify_every)
+    return ids, decoded
 
 
 def _ids_array(ids: list[list[int]]) -> pa.Array:
@@ -160,7 +163,11 @@ def _ids_array(ids: list[list[int]]) -> pa.Array:
 
 
 def encode(docs: DataFrame, model: bytes | None = None, text_col: str = "text", ids_col: str = "ids", threads: int = THREADS, verify_every: int = VERIFY_EVERY) -> DataFrame:
-    """docs with ids_col: array<int>; a column of that name is replaced. A null text gives null, an empty one no ids."""
+    """docs with ids_col: array<int>; a column of that name is replaced. A null text gives null, an empty one no ids.
+
+    Each row is encoded by itself, whole, however long it is; repeated rows stay repeated. The ids of every text are decoded
+    again and compared (round_trip).
+    """
     model = model or default_model()
     check(model)
     others = [c for c in docs.columns if c != ids_col]
@@ -171,7 +178,7 @@ def encode(docs: DataFrame, model: bytes | None = None, text_col: str = "text",
             for start, part in chunks(b.column(1), BATCH_BYTES):
                 rest = b.column(0).slice(start, len(part))
                 rest = pa.StructArray.from_arrays(rest.flatten(), [f.name for f in rest.type])
-                ids = _ids_array(encode_batch(model, part.fill_null("").to_pylist(), threads, verify_every))
+                ids = _ids_array(round_trip(model, part.fill_null("").to_pylist(), threads, verify_every)[0])
                 if part.null_count:
                     ids = pa.compute.if_else(part.is_valid(), ids, None)
                 yield pa.record_batch([rest, ids], ["rest", "ids"])
@@ -181,7 +188,7 @@ def encode(docs: DataFrame, model: bytes | None = None, text_col: str = "text",
 
 
 def decode(df: DataFrame, model: bytes | None = None, ids_col: str = "ids", text_col: str = "decoded", threads: int = THREADS) -> DataFrame:
-    """df with text_col, the text of ids_col; null for null ids."""
+    """df with text_col, the text of ids_col; null for null ids. Rows are decoded one by one, so repeated rows stay repeated."""
     model = model or default_model()
     others = [c for c in df.columns if c != text_col]
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("rest"), F.col(f"`{ids_col}`").cast("array<int>").alias("ids"))
@@ -208,8 +215,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, part in chunks(b.column(1), BATCH_BYTES):
-                ids = encode_batch(model, part.fill_null("").to_pylist())
-                texts = decode_batch(model, ids)
+                ids, texts = round_trip(model, part.fill_null("").to_pylist())
                 digests = [hashlib.sha256(np.array(x, "<i4").tobytes()).hexdigest() for x in ids]
                 again = [hashlib.sha256(x.encode()).hexdigest() for x in texts]
                 yield pa.record_batch([b.column(0).slice(start, len(part)), pa.array([len(x) for x in ids], pa.int64()), pa.array(digests), pa.array(again)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
