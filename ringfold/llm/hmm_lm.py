@@ -2,8 +2,8 @@
 
 Each word belongs to a class given by its length and its last letters; the end of a text is a class of its own. The states
 emit classes, a class emits its words: P(word | class) = (c + 1) / (N_class + V_class + 1), where the last 1 stands for all
-words not seen. Baum-Welch trains the states on the class sequences of all training texts: each task returns its expected
-counts, which are summed. The scaled forward recursion then gives the exact probability of every whole text.
+words not seen. Baum-Welch trains the states on the whole class sequences of all training texts: each task returns its
+expected counts, which are summed. The scaled forward recursion then gives the exact probability of every whole text.
 
 Word counts are joined by blocks of documents: a block sends its distinct words (as 64-bit hashes) once, and gets back how
 often the training texts of other blocks have them. So what is shuffled follows the blocks' vocabularies, not their tokens,
@@ -17,14 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mix, written
+from .common import Words, chunks, lean, mix, written
 from .substring_dedup import squeezed, swelled
 
-STATES, CLASSES, END_CLASS, STEPS, SEGMENT = 8, 256, 255, 6, 48
+STATES, CLASSES, END_CLASS, STEPS = 8, 256, 255, 6
 BLOCK_BYTES = 12 << 20
+#: Tokens whose forward vectors Baum-Welch holds at once; those of longer batches are computed again, piece by piece.
+HELD = 1 << 21
 END_HASH = np.uint64(0x5BD1E995A5A5A5A5)
 
 
@@ -41,38 +43,70 @@ class Hmm:
         stay = 0.7 * np.eye(STATES) + 0.3 * rows(STATES, STATES)
         return cls(rows(STATES), stay, rows(STATES, CLASSES))
 
-    def expected(self, sequences: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Baum-Welch counts of start, move and emit, and the log-likelihood, of rows of SEGMENT classes (-1: over).
+    def expected(self, classes: np.ndarray, counts: np.ndarray, held: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Baum-Welch counts of start, move and emit, and the log-likelihood.
 
-        Only rows flagged in first begin a text; the others begin with the states' long-run shares.
+        The sequences lie one after another, each of at least one class. All are stepped through together, the longest
+        first; of the forward vectors at most about `held` are kept, beside one a sequence where a piece of steps begins.
         """
-        steps = sequences.shape[1]
-        values, vectors = np.linalg.eig(self.move.T)
-        share = np.abs(np.real(vectors[:, np.argmax(np.real(values))]))
-        share /= share.sum()
-        table = np.vstack([self.emit.T, np.ones(STATES)])  # class -1 is the last row
-        alive = sequences >= 0
-        a = np.where(first[:, None], self.start, share)
-        alphas, scales = [], []
-        for t in range(steps):
-            a = a * table[sequences[:, t]] if t == 0 else np.where(alive[:, t, None], (a @ self.move) * table[sequences[:, t]], a)
-            c = a.sum(axis=1, keepdims=True)
-            a = a / c
-            alphas.append(a)
-            scales.append(c[:, 0])
-        loglik = float(sum(np.log(c[alive[:, t]]).sum() for t, c in enumerate(scales)))
-        b = np.ones_like(a)
-        move, emit = np.zeros((STATES, STATES)), np.zeros((CLASSES, STATES))
-        for t in range(steps - 1, -1, -1):
-            gamma = alphas[t] * b
-            gamma *= (alive[:, t] / gamma.sum(axis=1))[:, None]
-            for k in range(STATES):
-                emit[:, k] += np.bincount(sequences[alive[:, t], t], gamma[alive[:, t], k], minlength=CLASSES)
-            if t:
-                back = table[sequences[:, t]] * b / scales[t][:, None]
-                move += self.move * (alphas[t - 1][alive[:, t]].T @ back[alive[:, t]])
-                b = np.where(alive[:, t, None], back @ self.move.T, b)
-        return gamma[first].sum(axis=0), move, emit.T, loglik
+        order = np.argsort(-counts, kind="stable")
+        n, at = counts[order], (np.cumsum(counts) - counts)[order]
+        steps = int(n[0]) if len(n) else 0
+        live = len(n) - np.searchsorted(n[::-1], np.arange(steps + 1), "right")  # sequences with more than t classes
+        ends = np.cumsum(live[:steps])
+        cuts = [0]
+        while cuts[-1] < steps:
+            before = ends[cuts[-1] - 1] if cuts[-1] else 0
+            cuts.append(max(cuts[-1] + 1, int(np.searchsorted(ends, before + (held or HELD), "right"))))
+        table = self.emit.T.copy()
+
+        def forward(a: np.ndarray, t0: int, t1: int, keep: bool) -> tuple:
+            first = ends[t0] - live[t0] if t0 < steps else 0
+            total = int(ends[t1 - 1] - first)
+            seen, alphas, scales, where = (np.empty(total, np.uint8), np.empty((total, STATES)), np.empty(total), 0) if keep else (None, None, None, 0)
+            log = 0.0
+            for t in range(t0, t1):
+                m = live[t]
+                x = classes[at[:m] + t]
+                a = (a[:m] @ self.move if t else np.broadcast_to(self.start, (m, STATES))) * table[x]
+                c = a.sum(axis=1)
+                a /= c[:, None]
+                if keep:
+                    seen[where : where + m], alphas[where : where + m], scales[where : where + m] = x, a, c
+                    where += m
+                else:
+                    log += np.log(c).sum()
+            return a, seen, alphas, scales, log
+
+        starts, loglik, a = [np.zeros((0, STATES))], 0.0, np.zeros((len(n), STATES))
+        for t0, t1 in zip(cuts[:-2], cuts[1:-1], strict=True):  # all pieces but the last
+            a, *_, log = forward(a, t0, t1, False)
+            loglik += log
+            starts.append(a)
+        begin, move, emit, b = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, CLASSES)), np.zeros((0, STATES))
+        for k in range(len(cuts) - 2, -1, -1):
+            t0, t1 = cuts[k], cuts[k + 1]
+            a, seen, alphas, scales, _ = forward(starts[k], t0, t1, True)
+            if k == len(cuts) - 2:
+                loglik += np.log(scales).sum()
+            where = len(scales)
+            for t in range(t1 - 1, t0 - 1, -1):
+                m, past = live[t], live[t + 1]
+                where -= m
+                own = alphas[where : where + m]
+                # b: of each sequence with more classes, what follows step t; of one that ends here it is 1.
+                now = np.ones((m, STATES))
+                if past:
+                    move += own[:past].T @ b
+                    now[:past] = b @ self.move.T
+                b = table[seen[where : where + m]] * now / scales[where : where + m, None]
+                own *= now
+            gamma = alphas / alphas.sum(axis=1, keepdims=True)
+            for s in range(STATES):
+                emit[s] += np.bincount(seen, gamma[:, s], minlength=CLASSES)
+            if t0 == 0 and len(n):
+                begin = gamma[: live[0]].sum(axis=0)
+        return begin, self.move * move, emit, float(loglik)
 
     @classmethod
     def of(cls, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> Hmm:
@@ -87,7 +121,6 @@ class Hmm:
         out, table = np.zeros(len(n)), self.emit.T.copy()
         a = self.start * table[classes[at]]
         live = len(n)
-        pending = np.ones(len(n))
         for t in range(int(n[0]) if len(n) else 0):
             if t:
                 now = int(np.searchsorted(-n, -t, "left"))  # those with more than t classes
@@ -96,10 +129,7 @@ class Hmm:
                 a = (a @ self.move) * table[classes[at[:live] + t]]
             c = a.sum(axis=1)
             a /= c[:, None]
-            pending[:live] *= c
-            if t % 32 == 31 or t == int(n[0]) - 1:  # of 32 factors none is below 1e-8
-                out += np.log10(pending)
-                pending[:] = 1
+            out[:live] += np.log10(c)
         back = np.empty(len(n))
         back[order] = out
         return back
@@ -164,21 +194,20 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), trained(F.col(id_col)).alias("train"), F.col(text_col).cast("string").alias("text"))
     found = rows.mapInArrow(each, "ids array<long>, train binary, counts binary, classes binary, words binary, learned binary, kind binary, tokens binary")
-    return written(found.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
+    blocks = written(found.select(F.monotonically_increasing_id().alias("at"), "*"), "blocks")
+    # Blocks are numbered from 0: after those of the tasks before (a row a task).
+    tasks = blocks.groupBy(F.shiftright("at", 33).alias("task")).count()
+    before = tasks.select("task", F.coalesce(F.sum("count").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    before = F.broadcast(before) if tasks.count() <= 1_000_000 else before
+    number = (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("block")
+    return blocks.withColumn("task", F.shiftright("at", 33)).join(before, "task").select(number, *found.columns)
 
 
-def segments(train: bytes, counts: bytes, classes: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """A block's training sequences cut into rows of SEGMENT classes (-1 after the end), and which begin a text."""
+def sequences(train: bytes, counts: bytes, classes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A block's training sequences, one after another, and their lengths."""
     flags, n = np.frombuffer(train, np.uint8).astype(bool), np.frombuffer(counts, np.int64)
-    line = swelled(classes, int(n.sum())).astype(np.int64)
-    at = (np.cumsum(n) - n)[flags]
-    n = n[flags]
-    pieces = -(-n // SEGMENT)
-    within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    start = np.repeat(at, pieces) + within * SEGMENT
-    left = np.minimum(np.repeat(n, pieces) - within * SEGMENT, SEGMENT)
-    grid = np.minimum(start[:, None] + np.arange(SEGMENT), max(len(line) - 1, 0))
-    return np.where(np.arange(SEGMENT) < left[:, None], line[grid] if len(line) else -1, -1), within == 0
+    line = swelled(classes, int(n.sum()))
+    return line[np.repeat(flags, n)], n[flags]
 
 
 def train(blocks: DataFrame, steps: int = STEPS, states_seed: int = 7) -> Hmm:
@@ -189,12 +218,12 @@ def train(blocks: DataFrame, steps: int = STEPS, states_seed: int = 7) -> Hmm:
     for _ in range(steps):
 
         def each(batches: Iterator[pa.RecordBatch], model: Hmm = model) -> Iterator[pa.RecordBatch]:
+            lean()
             total = np.zeros(sum(shape))
             for b in batches:
                 for k in range(b.num_rows):
-                    rows, first = segments(*(c[k].as_py() for c in b.columns))
-                    for a in range(0, len(rows), 8192):
-                        total += np.concatenate([np.ravel(x) for x in model.expected(rows[a : a + 8192], first[a : a + 8192])])
+                    counts = model.expected(*sequences(*(c[k].as_py() for c in b.columns)))
+                    total += np.concatenate([np.ravel(x) for x in counts])
             yield pa.record_batch([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["k", "x"])
 
         # Sums of floats depend on their order: sum whole numbers instead.
@@ -209,7 +238,8 @@ def train(blocks: DataFrame, steps: int = STEPS, states_seed: int = 7) -> Hmm:
 
 def score(blocks: DataFrame, model: Hmm) -> DataFrame:
     """One row for each text: id, n_tokens, n_known, train_tokens, base_score, score."""
-    tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, blocks.count())
+    number = max(1, blocks.count())
+    tasks = max(blocks.sparkSession.sparkContext.defaultParallelism, number)
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,8 +301,10 @@ def score(blocks: DataFrame, model: Hmm) -> DataFrame:
         return pa.table([pa.array([i for x in ids for i in x], pa.int64()), pa.array(n), pa.array(n_known), pa.array(np.full(len(n), n_all, np.int64)), pa.array(base_score), pa.array(full)], columns)
 
     columns, kinds = ["id", "n_tokens", "n_known", "train_tokens", "base_score", "score"], [pa.int64()] * 4 + [pa.float64()] * 2
-    mine = blocks.select("block", "ids", "counts", "classes", "learned", "tokens").repartition(tasks, "block")
-    return mine.groupBy("block").cogroup(elsewhere.groupBy("block")).applyInArrow(each, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    mine = blocks.select("block", "ids", "counts", "classes", "learned", "tokens")
+    mine, elsewhere = mine.withColumn("part", F.col("block").cast("int")), elsewhere.withColumn("part", F.col("block").cast("int"))
+    mine, elsewhere = mine.repartitionById(number, "part"), elsewhere.repartitionById(number, "part")
+    return mine.groupBy("part").cogroup(elsewhere.groupBy("part")).applyInArrow(each, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def likelihoods(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

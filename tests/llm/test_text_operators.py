@@ -341,13 +341,49 @@ def test_forward_recursion():
     assert model.log10_forward(classes, counts) == pytest.approx(wanted, rel=1e-9)
 
 
+def brute_expected(model, sequences):
+    """Counts of start, move and emit, and the log-likelihood, step by step."""
+    start, move, emit, loglik = np.zeros(hmm_lm.STATES), np.zeros_like(model.move), np.zeros_like(model.emit), 0.0
+    for x in sequences:
+        alphas, scales = [], []
+        for t, k in enumerate(x):
+            a = (alphas[-1] @ model.move if t else model.start) * model.emit[:, k]
+            scales.append(a.sum())
+            alphas.append(a / a.sum())
+        loglik += sum(map(math.log, scales))
+        b = np.ones(hmm_lm.STATES)
+        for t in range(len(x) - 1, -1, -1):
+            gamma = alphas[t] * b
+            emit[:, x[t]] += gamma / gamma.sum()
+            if t == 0:
+                start += gamma / gamma.sum()
+            else:
+                for i in range(hmm_lm.STATES):
+                    move[i] += alphas[t - 1][i] * model.move[i] * model.emit[:, x[t]] * b / scales[t]
+                b = model.move @ (model.emit[:, x[t]] * b) / scales[t]
+    return start, move, emit, loglik
+
+
+@pytest.mark.parametrize("held", [None, 1, 60, 500])
+def test_baum_welch_against_brute_force(held):
+    """Whole texts, also those over 48 tokens, in one piece or many."""
+    model, rng = hmm_lm.Hmm.random(), np.random.default_rng(2)
+    counts = np.array([3, 200, 1, 57, 130, 1, 49])
+    classes = rng.integers(0, 256, counts.sum()).astype(np.uint8)
+    wanted = brute_expected(model, np.split(classes, np.cumsum(counts)[:-1]))
+    for got, w in zip(model.expected(classes, counts, held), wanted, strict=True):
+        assert got == pytest.approx(w, rel=1e-9, abs=1e-12)
+    for x in model.expected(classes[:0], counts[:0], held):
+        assert np.all(np.asarray(x) == 0)
+
+
 def test_baum_welch_never_loses_likelihood_and_beats_the_base(docs):
     blocks = hmm_lm.encode(docs)
     row = blocks.first()
-    rows, first = hmm_lm.segments(row["train"], row["counts"], row["classes"])
+    classes, counts = hmm_lm.sequences(row["train"], row["counts"], row["classes"])
     model, last = hmm_lm.Hmm.random(), -math.inf
     for _ in range(4):
-        start, move, emit, loglik = model.expected(rows, first)
+        start, move, emit, loglik = model.expected(classes, counts)
         assert loglik > last
         last, model = loglik, hmm_lm.Hmm.of(start, move, emit)
     held = hmm_lm.score(blocks, hmm_lm.train(blocks)).where(~hmm_lm.trained(F.col("id")))
@@ -355,6 +391,47 @@ def test_baum_welch_never_loses_likelihood_and_beats_the_base(docs):
     assert total["s"] > total["b"]
 
 
+def test_forward_of_classes_hardly_ever_seen():
+    """A class that training never saw, beside 1e10 of each other: the text stays possible."""
+    emit = np.full((hmm_lm.STATES, 256), 1e10)
+    emit[:, 9] = 0
+    model = hmm_lm.Hmm.of(np.full(hmm_lm.STATES, 1e10), np.full((hmm_lm.STATES,) * 2, 1e10), emit)
+    got = model.log10_forward(np.full(64, 9, np.uint8), np.array([64]))[0]
+    assert got == pytest.approx(64 * math.log10(model.emit[0, 9]), rel=1e-9) and got < -700
+
+
+def test_scores_follow_the_trained_model(docs, spark, monkeypatch):
+    """The whole score of each text, step by step from the trained states and the counts of its words."""
+    monkeypatch.setattr(hmm_lm, "BLOCK_BYTES", 60_000)
+    blocks = hmm_lm.encode(docs)
+    model = hmm_lm.train(blocks, steps=2)
+    import pyarrow as pa
+
+    rows = everything(docs)
+    kind, counts = {}, Counter()
+    for i, t in rows:
+        w = Words(pa.array([t or ""]), lower=True)
+        own = [w.data[a:b].tobytes() for a, b in zip(w.starts, w.ends, strict=True)]
+        kind.update(zip(own, hmm_lm.word_classes(w).tolist(), strict=True))
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update(own)
+            counts[None] += 1
+    kind[None] = hmm_lm.END_CLASS
+    tokens, distinct = Counter(), Counter()
+    for w, n in counts.items():
+        tokens[kind[w]] += n
+        distinct[kind[w]] += 1
+    got = {r["id"]: r["score"] for r in hmm_lm.score(blocks, model).collect()}
+    for i, t in rows[:40]:
+        total, a = 0.0, None
+        for x in [x.encode().lower() for x in words(t)] + [None]:
+            k = kind[x]
+            a = (model.start if a is None else a @ model.move) * model.emit[:, k]
+            total += math.log10(a.sum()) + math.log10((counts[x] + 1) / (tokens[k] + distinct[k] + 1))
+            a = a / a.sum()
+        assert got[i] == pytest.approx(total, rel=1e-9)
+
+
 def test_hmm_of_an_empty_table(empty):
     assert hmm_lm.likelihoods(empty).count() == 0
 
@@ -437,6 +514,17 @@ def test_decoding_of_any_ids():
     assert sentencepiece_codec.decode_batch(model, many) == [tok.decode(x, skip_special_tokens=False) for x in many]
 
 
+def test_wrong_ids_and_texts_are_errors(monkeypatch):
+    model = sentencepiece_codec.default_model()
+    codec = sentencepiece_codec._loaded(model, 2)
+    ids, texts = sentencepiece_codec.round_trip(model, ["one two", "x"], verify_every=1)
+    assert texts == ["one two", "x"] and ids == codec.ref.encode(["one two", "x"])
+    with pytest.raises(ValueError, match="otherwise"):
+        codec.verify(["one two"], [ids[0][:-1]], None, 1)
+    with pytest.raises(ValueError, match="otherwise"):
+        codec.verify(["one two"], [ids[0]], ["one tw"], 0)
+
+
 def test_unigram_model_with_normaliser():
     """A hand-made unigram model with byte fallback and without a prefix; nothing is trained."""
     from sentencepiece import sentencepiece_model_pb2 as proto
