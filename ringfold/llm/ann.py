@@ -7,11 +7,13 @@ edges point in diverse directions; reverse edges are added and pruned likewise.
 then searches each shard by beam, and the shards' answers are merged by exact score.
 
 Shards stream: a task gets a shard's vectors first and then the queries in batches, so it never holds all queries. Equal vectors
-are one point with their smallest ids, as only these can be among the nearest.
+are one point with their smallest ids, as only these can be among the nearest. As each query visits each shard, shards grow with
+the input (with its square root, from a million rows on), up to what a task can hold.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,11 @@ from pyspark.sql import functions as F
 
 SHARD_ROWS, DEGREE, BEAM, BUILD_BEAM, ALPHA, PASSES = 16_384, 32, 96, 56, 1.2, 2
 QUERIES_AT_ONCE, INSERT_AT_ONCE = 512, 512
+MOST_SHARD_ROWS = 1 << 20
+
+
+def rows_a_shard(rows: int) -> int:
+    return max(SHARD_ROWS, min(MOST_SHARD_ROWS, int((rows * 256) ** 0.5)))
 
 
 def _known(rows: np.ndarray, inner: np.ndarray, more: np.ndarray) -> np.ndarray:
@@ -150,31 +157,32 @@ def exact_scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS,
+    vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int | None = None,
     degree: int = DEGREE, beam: int = BEAM, build_beam: int = BUILD_BEAM, alpha: float = ALPHA,
 ) -> DataFrame:
-    """(query_id, rank from 1, vec_id, score): each query's k nearest of the other ids found, ties to the smaller id.
+    """(query_id, rank from 1, vec_id, score): each query's k nearest of the other rows found, ties to the smaller id.
 
-    Vectors that are null, all zero, of another length than most, or hold a null, NaN or infinity take no part, as do null
-    ids; such a query has no rows. Of rows that repeat an id the one with the largest vector counts.
+    Every row of `vectors` is a candidate, and every row of `queries` is a query, also where ids or whole rows repeat; a
+    query's own row, one of its id and vector, is not among its answers. Vectors that are null, all zero, of another length
+    than most, or hold a null, NaN or infinity take no part, as do null ids; such a query has no rows.
     """
     def sound(df: DataFrame) -> DataFrame:
-        """One row an id: id, v."""
+        """(id, v, times) of the distinct rows."""
         rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id is not null and v is not null and size(v) > 0")
         rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
-        return rows.groupBy("id").agg(F.max("v").alias("v"))
+        return rows.groupBy("id", "v").agg(F.count("*").alias("times"))
 
     every, asked = sound(vectors), sound(queries)
     sizes = every.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if sizes is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     width, rows = sizes["n"], sizes["count"]
-    shards = -(-rows // shard_rows)
+    shards = -(-rows // (shard_rows or rows_a_shard(rows)))
     turn = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     few = every.where(F.size("v") == width).withColumn("turn", turn).where(F.col("turn") <= k + 1)
-    members = few.select(F.pmod(F.xxhash64("v"), F.lit(shards)).alias("shard"), F.lit(False).alias("asks"), "id", "v")
-    asks = asked.where(F.size("v") == width).select(F.explode(F.expr(f"sequence(0L, {shards - 1}L)")).alias("shard"), F.lit(True).alias("asks"), "id", "v")
-    dealt = members.unionByName(asks).repartition(shards, "shard").sortWithinPartitions("shard", "asks", "id")
+    members = few.select(F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int").alias("shard"), F.lit(False).alias("asks"), "id", "v", "times")
+    asks = asked.where(F.size("v") == width).select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(True).alias("asks"), "id", "v", "times")
+    dealt = members.unionByName(asks).repartitionById(shards, "shard").sortWithinPartitions("shard", "asks", "id")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, graph, ids, values, heads = None, None, [], [], None
@@ -188,9 +196,11 @@ def nearest(
                 here = b.slice(part[0], len(part))
                 own = here.column(2).to_numpy()
                 x = here.column(3).flatten().to_numpy().reshape(-1, width)
+                times = here.column(4).to_numpy()
                 if not asks[part[0]]:
-                    ids.append(own)
-                    values.append(x)
+                    n = np.minimum(times, k + 1)
+                    ids.append(np.repeat(own, n))
+                    values.append(np.repeat(x, n, axis=0))
                     continue
                 if graph is None and ids:
                     id_of, rows = np.concatenate(ids), np.concatenate(values)
@@ -202,29 +212,35 @@ def nearest(
                 if graph is None:
                     continue
                 for a in range(0, len(own), QUERIES_AT_ONCE):
-                    yield from _answers(graph, id_of, heads, copies, own[a : a + QUERIES_AT_ONCE], x[a : a + QUERIES_AT_ONCE], k, beam)
+                    yield from _answers(graph, id_of, heads, copies, own[a : a + QUERIES_AT_ONCE], x[a : a + QUERIES_AT_ONCE], times[a : a + QUERIES_AT_ONCE], k, beam)
 
-    found = dealt.mapInArrow(each, "query_id long, vec_id long, score double")
-    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    # A query is told by its id and (a hash of) its vector.
+    found = dealt.mapInArrow(each, "query_id long, told long, times long, vec_id long, score double")
+    best = F.row_number().over(Window.partitionBy("query_id", "told").orderBy(F.desc("score"), "vec_id"))
+    found = found.withColumn("rank", best).where(F.col("rank") <= k)
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("query_id", "rank", "vec_id", "score")
 
 
-def _answers(graph: Graph, id_of, heads, copies, own, x, k, beam) -> Iterator[pa.RecordBatch]:
+def _answers(graph: Graph, id_of, heads, copies, own, x, times, k, beam) -> Iterator[pa.RecordBatch]:
     points = graph.nearest(x, k + 1, beam)
     row, column = np.nonzero(points >= 0)
     point = points[row, column]
     n = np.minimum(copies[point], k + 1)
     at = np.repeat(heads[point], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     score = np.repeat(exact_scores(x[row], graph.vectors[point]), n)
-    query, other = own[np.repeat(row, n)], id_of[at]
-    keep = query != other
-    query, other, score = query[keep], other[keep], score[keep]
-    order = np.lexsort((other, -score, query))
-    query, other, score = query[order], other[order], score[order]
-    starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.zeros(0, int)
-    nth = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
+    alike = np.repeat((x[row] == graph.vectors[point]).all(axis=1), n)
+    row, other = np.repeat(row, n), id_of[at]
+    order = np.lexsort((other, -score, row))
+    row, other, score, alike = row[order], other[order], score[order], alike[order]
+    itself = np.flatnonzero(alike & (own[row] == other))
+    itself = itself[np.unique(row[itself], return_index=True)[1]]  # one row of the query's id and vector
+    row, other, score = (np.delete(c, itself) for c in (row, other, score))
+    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.zeros(0, int)
+    nth = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)]))
     top = nth < k
-    yield pa.record_batch([pa.array(query[top]), pa.array(other[top]), pa.array(score[top])], ["query_id", "vec_id", "score"])
+    row = row[top]
+    told = np.array([int.from_bytes(hashlib.blake2b(v.tobytes(), digest_size=8).digest(), "little", signed=True) for v in x], np.int64)
+    yield pa.record_batch([pa.array(own[row]), pa.array(told[row]), pa.array(times[row]), pa.array(other[top]), pa.array(score[top])], ["query_id", "told", "times", "vec_id", "score"])
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -118,33 +118,40 @@ def test_broken_archives_are_errors():
 # Neighbours
 
 
-def exact(vectors, asked, k):
+def exact(rows, k):
+    """Answers of the rows whose id is divisible by 20, from (id, vector): all other rows are candidates."""
     out = []
-    for i in asked:
-        best = sorted((-float((vectors[i] * v).sum()), j) for j, v in vectors.items() if j != i)[:k]
-        out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    for q, (i, v) in enumerate(rows):
+        if i % 20 == 0:
+            best = sorted((-float((np.array(v) * np.array(w)).sum()), j) for n, (j, w) in enumerate(rows) if n != q)[:k]
+            out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
     return out
 
 
 def test_neighbours_of_few_vectors_are_exact(spark):
     rng = np.random.default_rng(0)
     rows = [(k, rng.normal(size=4).tolist()) for k in range(150)] + [(1000 + k, [1.0, 2.0, 3.0, 4.0]) for k in range(60)]
-    odd = [(2000, None), (2020, [0.0] * 4), (2040, [1.0, float("nan"), 0.0, 0.0]), (2060, [1.0, 2.0]), (None, [1.0] * 4), (2080, [1.0, None, 1.0, 1.0]), (2100, [float("inf"), 1.0, 1.0, 1.0]), rows[0]]
+    rows += [rows[0], rows[0], rows[40], (20, [5.0, 0.0, 0.0, 0.0]), (1000, [1.0, 2.0, 3.0, 4.0]), (41, [9.0, 9.0, 9.0, 9.0])]  # repeated rows, and ids with other vectors
+    odd = [(2000, None), (2020, [0.0] * 4), (2040, [1.0, float("nan"), 0.0, 0.0]), (2060, [1.0, 2.0]), (None, [1.0] * 4), (2080, [1.0, None, 1.0, 1.0]), (2100, [float("inf"), 1.0, 1.0, 1.0])]
     frame = spark.createDataFrame([(i, v, 9, "s") for i, v in rows + odd], "vec_id long, embedding array<double>, shard int, id string")
     found = ann.nearest(frame, frame.where("vec_id % 20 = 0"), 5, shard_rows=70).collect()
-    vectors = {i: np.array(v) for i, v in rows}
-    wanted = exact(vectors, [i for i in vectors if i % 20 == 0], 5)
-    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == sorted(wanted)
-    few = frame.where("vec_id < 4")
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == sorted(exact(rows, 5))
+    few = frame.where("vec_id in (1, 2, 3, 5)")
     assert ann.nearest(few, few, 20).groupBy("query_id").count().where("count <> 3").count() == 0
+    two = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 5.0]), (20, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in ann.nearest(two, two.where("vec_id = 20")).orderBy("rank").collect()] == [(20, 1, 1, 5.0), (20, 2, 1, 1.0)]
     assert ann.nearest(frame.limit(0), frame).count() == 0
 
 
+def test_shards_grow_with_the_input():
+    assert [ann.rows_a_shard(n) for n in (10, 1 << 20, 1 << 28, 1 << 40)] == [16_384, 16_384, 1 << 18, 1 << 20]
+
+
 def test_recall(spark, sf):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
     found = ann.nearest(vectors, vectors.where("vec_id % 20 = 0"), shard_rows=150).collect()
     rows = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in vectors.collect()}
-    wanted = {x[:1] + x[2:3] for x in exact(rows, [i for i in rows if i % 20 == 0], 20)}
+    wanted = {x[:1] + x[2:3] for x in exact(list(rows.items()), 20)}
     assert len({(r["query_id"], r["vec_id"]) for r in found} & wanted) >= 0.95 * len(wanted)
 
 
