@@ -18,4 +18,5 @@ QUERIES = {
 }
 ORACLE: dict[str, str] = {
     "op1_url_filter": url_filter.SQL,
+    "op5_warc": warc.SQL,
 }

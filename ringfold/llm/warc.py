@@ -1,10 +1,12 @@
 """WARC archives: written with one request, response or revisit, and metadata record a capture; read back as one row a capture.
 
 Writing is DataFrame functions and Spark's text writer, whose line separator is the two line ends that close a record; files
-are gzip and hold a bounded number of records. Reading parses each file by its records' lengths and puts the transactions
-together again: request and metadata records name their response in WARC-Concurrent-To, revisits name theirs in WARC-Refers-To.
+are gzip and hold a bounded number of records. Reading parses each file by its records' lengths, a piece at a time, and puts
+the transactions together again: request and metadata records name their response in WARC-Concurrent-To, revisits name theirs
+in WARC-Refers-To.
 
-A capture is told by (page_id, url, html): rows that repeat all three are one capture.
+Every row is a capture of its own. Which rows are revisits is found without their payloads, so payloads are dealt only where
+there are many revisits, and then by row: copies of one payload are no hot key.
 """
 
 from __future__ import annotations
@@ -18,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import workspace
+from .common import met, workspace, written
 
 END = "\r\n"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-RECORDS_A_FILE = 12_000
+#: Records of a file at most, and about how many bytes of payload.
+RECORDS_A_FILE, FILE_BYTES = 12_000, 256 << 20
+_PIECE = 1 << 20
 
 
 def base32_sha1(text: Column) -> Column:
@@ -46,66 +50,98 @@ def _uuid(kind: str, capture: Column) -> Column:
     return F.concat_ws("-", *(F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
 
 
-def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", records_a_file: int = RECORDS_A_FILE) -> None:
-    """Writes pages (page_id, url, html) to a new folder of gzip WARC files.
+def write_warc(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", records_a_file: int | None = None, key: Column | None = None) -> None:
+    """Writes pages (page_id, url, html) to a new folder of gzip WARC files, three records a row.
 
-    Of captures with equal payloads of at least min_bytes bytes, that with the largest page_id is the response, and the
-    others are revisits of it, without the payload. A null html is an empty payload; a null url is urn:page:<page_id>.
-    Null page_ids are smaller than all others.
+    Of rows with equal payloads of at least min_bytes bytes, that with the largest page_id (then url, then key) is the
+    response, and the others are revisits of it, without the payload; that also holds for rows that repeat all columns. A
+    null html is an empty payload; a null url is urn:page:<page_id>, and stays apart from an empty one. Null page_ids are
+    smaller than all others. Payloads are written whole; a record must fit a task's memory, and a text of Spark (2 GB).
+
+    key: a string that names each row, the same whenever the rows are read; without it rows are numbered in a written copy.
     """
-    rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumns({"digest": base32_sha1(F.col("html")), "n": F.octet_length("html").cast("long")})
-    least = F.lit(-(1 << 63))
-    key = F.struct(F.coalesce("page_id", least).alias("id"), F.coalesce("url", F.lit("")).alias("url"))
-    first = rows.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.max(key).alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first")
-    rows = rows.join(first, "digest", "left")
-
-    named = lambda i, url: F.concat(i.cast("string"), F.lit(" "), F.col("digest"), F.lit(" "), url)
-    capture = named(F.coalesce("page_id", least), F.coalesce("url", F.lit("")))
-    revisit = F.col("first").isNotNull() & (key != F.col("first"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), (F.monotonically_increasing_id().cast("string") if key is None else key).alias("key"))
+    rows = written(rows, "pages") if key is None else rows
+    rows = rows.withColumn("html", F.coalesce("html", F.lit("")))
+    facts_of = {"digest": base32_sha1(F.col("html")), "n": F.octet_length("html").cast("long")}
+    slim = written(rows.withColumns(facts_of).drop("html"), "payloads")
+    count, size = slim.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    order = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("id"), F.coalesce("url", F.lit("")).alias("url"), F.col("key").alias("first"))
+    first = slim.where(F.col("n") >= min_bytes).groupBy("digest").agg(F.max(order).alias("of"), F.count("*").alias("copies")).where("copies > 1").select("digest", F.col("of.first").alias("first"), "copies")
+    revisits = written(met(slim, first, "digest", count).where("key <> first"), "revisits")
+    responses = rows.join(revisits.select("key"), "key", "left_anti").withColumns(facts_of)
+
     uri = F.regexp_replace(F.coalesce("url", F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))), r"[\x00-\x20\x7F]", "%20")
     common = {"WARC-Date": date, "WARC-Target-URI": uri}
-    main = F.concat(F.lit("<urn:uuid:"), _uuid("main ", capture), F.lit(">"))
+    named = lambda of: F.concat(F.lit("<urn:uuid:"), _uuid("main ", F.col(of)), F.lit(">"))
     head = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("n").cast("string"), F.lit(END + END))
     ask = F.concat(F.lit("GET "), uri, F.lit(f" HTTP/1.1{END}User-Agent: ringfold{END}{END}"))
     http = lambda kind: f"application/http; msgtype={kind}"
-    digest = F.concat(F.lit("sha1:"), F.col("digest"))
-    answer = common | {"WARC-Payload-Digest": digest, "Content-Type": http("response")}
-    refers = F.concat(F.lit("<urn:uuid:"), _uuid("main ", named(F.col("first.id"), F.col("first.url"))), F.lit(">"))
+    answer = common | {"WARC-Payload-Digest": F.concat(F.lit("sha1:"), F.col("digest")), "Content-Type": http("response")}
     profile = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
     facts = F.to_json(F.struct("page_id", "url", F.col("n").alias("payload_bytes")), {"ignoreNullFields": "false"})
-    records = F.array(
-        _record("request", _uuid("request ", capture), common | {"WARC-Concurrent-To": main, "Content-Type": http("request")}, ask),
-        F.when(revisit, _record("revisit", _uuid("main ", capture), answer | {"WARC-Profile": profile, "WARC-Refers-To": refers}, head))
-        .otherwise(_record("response", _uuid("main ", capture), answer, F.concat(head, "html"))),
-        _record("metadata", _uuid("metadata ", capture), common | {"WARC-Concurrent-To": main, "Content-Type": "application/json"}, facts),
-    )
-    lines = rows.select(F.explode(records).alias("value"))
-    lines.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", records_a_file).text(path)
+
+    def records_of(rows: DataFrame, main: Column) -> DataFrame:
+        ids = {"WARC-Concurrent-To": named("key")}
+        asked = _record("request", _uuid("request ", F.col("key")), common | ids | {"Content-Type": http("request")}, ask)
+        told = _record("metadata", _uuid("metadata ", F.col("key")), common | ids | {"Content-Type": "application/json"}, facts)
+        return rows.select(F.explode(F.array(asked, main, told)).alias("value"))
+
+    again = records_of(revisits, _record("revisit", _uuid("main ", F.col("key")), answer | {"WARC-Profile": profile, "WARC-Refers-To": named("first")}, head))
+    lines = records_of(responses, _record("response", _uuid("main ", F.col("key")), answer, F.concat(head, "html"))).unionByName(again)
+    most = records_a_file or min(RECORDS_A_FILE, 3 * max(1, FILE_BYTES * max(count, 1) // max(size, 1)))
+    lines.write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
+
+
+def _plain(archive: bytes) -> Iterator[bytes]:
+    """An archive's bytes, unpacked piece by piece: a gzip member for the file, or one for each record, or none."""
+    rest = memoryview(archive)
+    while rest[:2] == b"\x1f\x8b":
+        member, at = zlib.decompressobj(31), 0
+        while not member.eof:
+            if at >= len(rest):
+                raise ValueError("the archive is cut off")
+            yield member.decompress(rest[at : at + _PIECE])
+            at += _PIECE
+        rest = rest[min(at, len(rest)) - len(member.unused_data) :]
+    yield from (bytes(rest[a : a + _PIECE]) for a in range(0, len(rest), _PIECE))
 
 
 def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """The header fields (names in lower case) and the block of each record of a gzip or plain WARC file."""
-    data, rest = [], archive
-    while rest[:2] == b"\x1f\x8b":  # a member for the file, or one for each record
-        member = zlib.decompressobj(31)
-        data.append(member.decompress(rest) + member.flush())
-        rest = member.unused_data
-    raw = b"".join([*data, rest])
-    at = 0
-    while at < len(raw):
-        if not raw.startswith(b"WARC/", at):
-            raise ValueError(f"no record at byte {at}")
-        body = raw.index(b"\r\n\r\n", at) + 4
+    pieces, have, done = _plain(archive), bytearray(), 0
+
+    def more() -> bool:
+        piece = next(pieces, None)
+        if piece is not None:
+            have.extend(piece)
+        return piece is not None
+
+    while have or more():
+        while len(have) < 5 and more():
+            pass
+        if not have:
+            return
+        if have[:5] != b"WARC/":
+            raise ValueError(f"no record at byte {done}")
+        body, looked = -1, 0
+        while (body := have.find(b"\r\n\r\n", looked)) < 0:
+            looked = max(0, len(have) - 3)
+            if not more():
+                raise ValueError(f"the record at byte {done} is cut off")
+        body += 4
         fields = {}
-        for line in raw[at : body - 4].split(b"\r\n")[1:]:
+        for line in bytes(have[: body - 4]).split(b"\r\n")[1:]:
             name, _, value = line.partition(b":")
             fields[name.decode().lower()] = value.strip().decode("utf-8", "replace")
         end = body + int(fields["content-length"])
-        if raw[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} is cut off")
-        yield fields, raw[body:end]
-        at = end + 4
+        while len(have) < end + 4 and more():
+            pass
+        if have[end : end + 4] != b"\r\n\r\n":
+            raise ValueError(f"the record at byte {done} is cut off")
+        yield fields, bytes(have[body:end])
+        del have[: end + 4]
+        done += end + 4
 
 
 _RECORD = "type string, id string, concurrent_to string, refers_to string, uri string, digest string, intact boolean, bytes long, head binary, payload binary, facts string"
@@ -147,28 +183,60 @@ def _batch(rows, kinds, names):
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """One row a capture: page_id, url, request, response, metadata (nested), refers_to_page.
-
-    A response without a request or metadata record has null there. A payload that doesn't have its digest raises an error.
-    """
+def _captures(spark: SparkSession, path: str, payload: bool) -> DataFrame:
+    """(id, response, request, metadata) of each response or revisit record."""
     found = records(spark, path, payload)
     kind = lambda *k: found.where(F.col("type").isin(*k))
-    answers = kind("response", "revisit")
     sound = F.when(F.coalesce("intact", F.lit(True)), F.col("type")).otherwise(F.raise_error(F.concat(F.lit("payload of another digest in "), F.col("id"))))
-    answers = answers.select("id", F.struct(sound.alias("type"), "id", "uri", "digest", F.col("bytes").alias("stored_bytes"), "head", "payload", "refers_to").alias("response")).dropDuplicates(["id"])
-    asked = kind("request").select(F.col("concurrent_to").alias("id"), F.struct(F.col("id").alias("id"), "uri", "head").alias("request")).dropDuplicates(["id"])
+    answers = kind("response", "revisit").select("id", F.struct(sound.alias("type"), "id", "uri", "digest", F.col("bytes").alias("stored_bytes"), "head", "payload", "refers_to").alias("response"))
+    asked = kind("request").groupBy(F.col("concurrent_to").alias("id")).agg(F.min(F.struct(F.col("id").alias("id"), "uri", "head")).alias("request"))
     facts = F.from_json("facts", "page_id long, url string, payload_bytes long")
-    told = kind("metadata").select(F.col("concurrent_to").alias("id"), facts.alias("metadata")).dropDuplicates(["id"])
-    whole = answers.join(asked, "id", "left").join(told, "id", "left")
-    page_of = told.select(F.col("id").alias("to"), F.col("metadata.page_id").alias("refers_to_page"))
-    revisits, others = whole.where(F.col("response.type") == "revisit"), whole.where(F.col("response.type") != "revisit")
-    out = revisits.join(page_of, F.col("response.refers_to") == F.col("to"), "left").drop("to").unionByName(others.withColumn("refers_to_page", F.lit(None).cast("long")))
-    return out.select(F.col("metadata.page_id").alias("page_id"), F.col("metadata.url").alias("url"), "request", "response", "metadata", "refers_to_page")
+    told = kind("metadata").groupBy(F.col("concurrent_to").alias("id")).agg(F.min(F.struct("id", facts.alias("facts"))).alias("told")).select("id", F.col("told.facts").alias("metadata"))
+    return answers.join(asked, "id", "left").join(told, "id", "left")
+
+
+def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """One row a capture: page_id, url, request, response, metadata (nested), payload_bytes, refers_to_page.
+
+    payload_bytes is counted in the response, for a revisit in the response it refers to. A response without a request or
+    metadata record has null there, and of several the one with the smallest id; a revisit of no response in the archives
+    has null payload_bytes and refers_to_page. A payload that doesn't have its digest, or has another size than its metadata
+    record says, raises an error. Captures that repeat a record's id are told apart by nothing and all stay.
+    """
+    whole = _captures(spark, path, payload)
+    slim = written((whole if not payload else _captures(spark, path, False)).select("id", "response.type", "response.refers_to", "response.stored_bytes", "metadata.page_id"), "captures")
+    asked = slim.where("type = 'revisit' and refers_to is not null").select("id", F.col("refers_to").alias("to"))
+    main = slim.where("type <> 'revisit'").groupBy(F.col("id").alias("to")).agg(F.max(F.struct("page_id", "stored_bytes")).alias("main"))
+    # A response that many revisits refer to is no hot key.
+    targets = asked.groupBy("to").agg(F.count("*").alias("copies")).join(main, "to")
+    refers = met(asked, targets, "to", asked.count()).groupBy("id").agg(F.max("main").alias("main"))
+    out = whole.join(refers, "id", "left")
+    size = F.when(F.col("response.type") == "revisit", F.col("main.stored_bytes")).otherwise(F.col("response.stored_bytes"))
+    stated = F.col("metadata.payload_bytes")
+    size = F.when(F.coalesce(stated == size, F.lit(True)), size).otherwise(F.raise_error(F.concat(F.lit("payload of another size in "), F.col("id"))))
+    return out.select(F.col("metadata.page_id").alias("page_id"), F.col("metadata.url").alias("url"), "request", "response", "metadata", size.alias("payload_bytes"), F.col("main.page_id").alias("refers_to_page"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     path = workspace(spark, "warc")
-    write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    write_warc(pages, path, key=F.concat_ws(":", "_metadata.file_path", "_metadata.row_index"))
     found = read_warc(spark, path, payload=False)
-    return found.select("page_id", F.col("metadata.payload_bytes").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
+    return found.select("page_id", "payload_bytes", F.col("response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
+
+
+#: Five hex digits of the SHA-1 are four digits of base 32. Where rows repeat page_id and payload the one that is the response doesn't show.
+SQL = f"""
+WITH hashed AS (
+  SELECT page_id, url, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages
+), named AS (
+  SELECT page_id, url, strlen(html) AS payload_bytes,
+         array_to_string([substr('{BASE32}', 1 + ((('0x' || substr(h, 1 + 5 * (k // 4), 5))::INT >> (15 - 5 * (k % 4))) & 31), 1) FOR k IN range(32)], '') AS payload_digest
+  FROM hashed
+), numbered AS (
+  SELECT *, row_number() OVER w AS nth, first(page_id) OVER w AS main
+  FROM named WINDOW w AS (PARTITION BY payload_digest ORDER BY page_id DESC NULLS LAST, coalesce(url, '') DESC)
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN nth > 1 THEN main END AS refers_to
+FROM numbered"""

@@ -1,6 +1,7 @@
 """Url filter, WARC and neighbour search, the pipeline, and the registered queries."""
 
 import base64
+import gzip
 import hashlib
 import pathlib
 import random
@@ -76,30 +77,49 @@ def test_url_filter_plan_is_native(pages):
 # WARC
 
 
-def test_warc_round_trip(spark, pages, no_pages):
-    path = workspace(spark, "warc")
-    warc.write_warc(pages, path, records_a_file=10)
-    rows = {(r["page_id"], r["url"], r["html"]) for r in pages.select("page_id", "url", "html").collect()}
+@pytest.mark.parametrize("named", [True, False])
+def test_warc_round_trip(spark, pages, no_pages, named, tmp_path):
+    """A capture for each row, also for rows that repeat others, and for null and empty urls beside each other."""
+    pages = pages.unionByName(spark.createDataFrame([(5, None, "x"), (5, "", "x"), (5, "", "x")], "page_id long, url string, html string"), allowMissingColumns=True)
+    path, key = workspace(spark, "warc"), None
+    if named:
+        pages.write.parquet(str(tmp_path / "pages"))
+        pages = spark.read.parquet(str(tmp_path / "pages"))
+        key = F.concat_ws(":", "_metadata.file_path", "_metadata.row_index")
+    warc.write_warc(pages, path, records_a_file=10, key=key)
+    rows = [(r["page_id"], r["url"], r["html"]) for r in pages.select("page_id", "url", "html").collect()]
     found = warc.read_warc(spark, path).collect()
-    assert {(r["page_id"], r["url"]) for r in found} == {x[:2] for x in rows} and len(found) == len(rows)
+    tell = lambda i, u, n: (i is None, i or 0, u is None, u or "", n)
+    assert sorted(tell(r["page_id"], r["url"], r["payload_bytes"]) for r in found) == sorted(tell(i, u, len((h or "").encode())) for i, u, h in rows)
     largest = {}
     for i, u, h in rows:
         largest[h or ""] = max(largest.get(h or "", (-1, "")), (-1 if i is None else i, u or ""))
-    by_key = {(i, u): h or "" for i, u, h in rows}
+    of_digest = {base64.b32encode(hashlib.sha1(h.encode()).digest()).decode(): h for h in largest}
     for r in found:
-        html = by_key[r["page_id"], r["url"]]
-        assert r["response"]["digest"] == base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
+        html = of_digest[r["response"]["digest"]]
         assert r["metadata"]["payload_bytes"] == len(html.encode())
-        first = largest[html] == (-1 if r["page_id"] is None else r["page_id"], r["url"] or "")
-        assert r["response"]["type"] == ("response" if first else "revisit")
+        first = r["response"]["type"] == "response"
+        assert not first or largest[html] == (-1 if r["page_id"] is None else r["page_id"], r["url"] or "")
         assert r["response"]["payload"].decode() == (html if first else "")
         assert r["refers_to_page"] == (None if first else largest[html][0])
         assert r["request"]["head"].startswith(b"GET ")
+    responses = [r["response"]["digest"] for r in found if r["response"]["type"] == "response"]
+    assert len(responses) == len(set(responses)) == len(of_digest)
     empty = workspace(spark, "warc")
     warc.write_warc(no_pages, empty)
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_archives_of_many_members_are_read_piece_by_piece(monkeypatch):
+    monkeypatch.setattr(warc, "_PIECE", 7)
+    record = lambda k: b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (k, b"z" * k)
+    sizes = [0, 1, 50, 4]
+    for archive in (b"".join(gzip.compress(record(k)) for k in sizes), gzip.compress(b"".join(map(record, sizes))), b"".join(map(record, sizes))):
+        assert [len(block) for _, block in warc.parse(archive)] == sizes
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.parse(gzip.compress(record(50))[:-20]))
+
+
 def test_small_payloads_are_no_revisits(spark, pages):
     path = workspace(spark, "warc")
     warc.write_warc(pages, path, min_bytes=1)
@@ -233,6 +253,20 @@ def test_pipeline_keeps_one_of_edited_copies(spark, sf):
     assert kept == {k for k in range(len(texts)) if root[k] == k} and len(kept) < len(texts) * 0.8
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_query_matches_sql(name, spark, sf):
+    """Names, types and rows."""
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    df, wanted = queries.QUERIES[name](spark, sf), con.sql(queries.ORACLE[name])
+    kinds = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+    assert {n: kinds[t] for n, t in df.dtypes} == {n: str(t) for n, t in zip(wanted.columns, wanted.types, strict=True)}
+    key = lambda r: tuple(repr(r[n]) for n in df.columns)
+    rows = [dict(zip(wanted.columns, r, strict=True)) for r in wanted.fetchall()]
+    assert sorted(map(key, df.collect())) == sorted(map(key, rows)) and rows
+
+
 def test_every_operator_is_registered():
     names = list(queries.QUERIES)
     assert [n.split("_")[0] for n in names] == [f"op{k}" for k in range(1, 11)]
