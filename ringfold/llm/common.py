@@ -14,6 +14,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: A word is a maximal run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -52,6 +53,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fields(of: DataFrame, name: str, before: str = "", after: str = "") -> StructType:
+    """A schema with the column `name` of a table between others; other names may hold anything."""
+    parts = lambda ddl: StructType.fromDDL(ddl).fields if ddl else []
+    return StructType([*parts(before), StructField(name, of.schema[name].dataType.toNullable()), *parts(after)])
+
+
 def met(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
     """The inner join of rows with table, which has one row a key and in `copies` how many of the `total` rows have it.
 

@@ -19,4 +19,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op1_url_filter": url_filter.SQL,
     "op5_warc": warc.SQL,
+    "op9_substring_dedup": substring_dedup.SQL,
 }

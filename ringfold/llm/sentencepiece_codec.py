@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, fields
 
 MARK = "▁"
 THREADS, VERIFY_EVERY, BATCH_BYTES = 2, 256, 1 << 20
@@ -183,7 +183,7 @@ def encode(docs: DataFrame, model: bytes | None = None, text_col: str = "text",
                     ids = pa.compute.if_else(part.is_valid(), ids, None)
                 yield pa.record_batch([rest, ids], ["rest", "ids"])
 
-    found = rows.mapInArrow(each, f"rest {rows.schema['rest'].dataType.simpleString()}, ids array<int>")
+    found = rows.mapInArrow(each, fields(rows, "rest", after="ids array<int>"))
     return found.select(*(F.col(f"rest.`{c}`") for c in others), F.col("ids").alias(ids_col))
 
 
@@ -202,7 +202,7 @@ def decode(df: DataFrame, model: bytes | None = None, ids_col: str = "ids", text
                 texts = decode_batch(model, [x or [] for x in ids], threads)
                 yield pa.record_batch([rest, pa.array([t if x is not None else None for t, x in zip(texts, ids, strict=True)], pa.string())], ["rest", "text"])
 
-    found = rows.mapInArrow(each, f"rest {rows.schema['rest'].dataType.simpleString()}, text string")
+    found = rows.mapInArrow(each, fields(rows, "rest", after="text string"))
     return found.select(*(F.col(f"rest.`{c}`") for c in others), F.col("text").alias(text_col))
 
 

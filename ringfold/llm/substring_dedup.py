@@ -1,6 +1,6 @@
 """Substring dedup: windows of `width` consecutive words that another document with a smaller id also holds are removed.
 
-Documents are dealt to blocks by a hash of their id. A block takes the Rabin-Karp hash of every window and sends, packed by
+Documents are dealt to blocks by a hash of their id and text. A block takes the Rabin-Karp hash of every window and sends, packed by
 ranges of the hash, each distinct hash with the smallest id that holds it here. What holds a range of the hash counts where
 each hash starts, and tells a block which of its hashes begin in a smaller document elsewhere. The block, whose texts
 come from the same shuffle, then removes the windows that lost, here or elsewhere; overlapping windows merge into maximal
@@ -18,10 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, whole, windows
+from .common import Words, chunks, fields, whole, windows
 
 WIDTH = 50
 BLOCK_BYTES, RANGE_WINDOWS, BYTES_A_WORD = 4 << 20, 2_000_000, 6
+#: A block sends a piece to each range: beyond this many bytes of text both grow with its square root, up to so many times
+#: (a task then holds 64 MB of text, or 32 million windows).
+GROWS_FROM, MOST_GROWTH = 8 << 30, 16.0
 
 
 def squeezed(planes: np.ndarray) -> bytes:
@@ -81,12 +84,13 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, digest: bool = False,
     spans: the maximal intervals [first, past) of word numbers that go. kept: the other words joined by one space.
     A text that is null or has no words gives 0, 0, no spans and an empty kept; one of fewer than `width` words loses none.
     Rows that repeat an id are documents of equal rank: none removes what another holds. A row whose id is null is kept
-    whole and removes nothing.
+    whole and removes nothing. Texts are taken whole; a very long one is a block of its own size.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*([F.col(c) for c in carry] or [F.lit(0).alias("none")])).alias("rest"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*([F.col(f"`{c}`") for c in carry] or [F.lit(0).alias("none")])).alias("rest"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks, ranges = total // BLOCK_BYTES + 1, total // (BYTES_A_WORD * RANGE_WINDOWS) + 1
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).repartition(blocks, "block")
+    growth = min(MOST_GROWTH, max(1.0, (total / GROWS_FROM) ** 0.5))
+    blocks, ranges = int(total / (growth * BLOCK_BYTES)) + 1, int(total / (growth * BYTES_A_WORD * RANGE_WINDOWS)) + 1
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int")).repartitionById(blocks, "block")
 
     def count(key, table):
         ids = table.column("id").combine_chunks()
@@ -100,7 +104,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, digest: bool = False,
             out = [(k, key[0].as_py(), pack(distinct[a:b]), pack(known), squeezed(at[a:b].astype(np.uint32).view(np.uint8).reshape(-1, 4).T)) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if b > a]
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, sent, strict=True)], names)
 
-    sent, names = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()], ["part", "block", "hashes", "known", "least"]
+    sent, names = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["part", "block", "hashes", "known", "least"]
 
     def judge(table):
         h, ids, block = [], [], []
@@ -117,7 +121,7 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, digest: bool = False,
         lost = lost[np.lexsort((h[lost], block[lost]))]
         who, first = np.unique(block[lost], return_index=True)
         edges = [*first.tolist(), len(lost)]
-        return pa.table({"block": pa.array([of[k] for k in who], pa.int64()), "lost": pa.array([pack(h[lost[a:b]]) for a, b in zip(edges, edges[1:], strict=False)], pa.binary())})
+        return pa.table({"block": pa.array([of[k] for k in who], pa.int32()), "lost": pa.array([pack(h[lost[a:b]]) for a, b in zip(edges, edges[1:], strict=False)], pa.binary())})
 
     def remove(table, told):
         ids, texts = table.column("id").combine_chunks(), table.column("text").combine_chunks()
@@ -150,9 +154,9 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, digest: bool = False,
         last = pa.array(kept, pa.string()) if digest else pa.array(kept, pa.binary()).cast(pa.string())
         return pa.Table.from_arrays([rest, ids, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64())]))), last], ["rest", "id", "n_words", "n_removed", "spans", "kept_sha256" if digest else "kept"])
 
-    packed = dealt.groupBy("block").applyInArrow(count, "part long, block long, hashes binary, known binary, least binary")
-    lost = packed.repartition(ranges, "part").groupBy("part").applyInArrow(judge, "block long, lost binary")
-    out = f"rest {rows.schema['rest'].dataType.simpleString()}, id long, n_words long, n_removed long, spans array<struct<first: long, past: long>>, {'kept_sha256' if digest else 'kept'} string"
+    packed = dealt.groupBy("block").applyInArrow(count, "part int, block int, hashes binary, known binary, least binary")
+    lost = packed.repartitionById(ranges, "part").groupBy("part").applyInArrow(judge, "block int, lost binary").repartitionById(blocks, "block")
+    out = fields(rows, "rest", after=f"id long, n_words long, n_removed long, spans array<struct<first: long, past: long>>, {'kept_sha256' if digest else 'kept'} string")
     return dealt.groupBy("block").cogroup(lost.groupBy("block")).applyInArrow(remove, out)
 
 
@@ -170,3 +174,22 @@ def clean(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return repeated_windows(docs, digest=True).select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+SQL = """
+WITH words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents)
+), windows AS (
+  SELECT doc_id, i, word, CASE WHEN count(*) OVER w = 50 THEN string_agg(word, ' ') OVER w END AS own
+  FROM words WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)
+), lost AS (
+  SELECT doc_id, i, word, coalesce(own IS NOT NULL AND min(doc_id) OVER (PARTITION BY own) < doc_id, false) AS begins FROM windows
+), cover AS (
+  SELECT doc_id, i, word, bool_or(begins) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM lost
+), counted AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS kept
+  FROM cover GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN counted USING (doc_id)"""
