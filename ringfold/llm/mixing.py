@@ -8,6 +8,9 @@ A source's budget is its weight times the total budget, given out in epochs: eac
 dealt into blocks by a hash of (seed, epoch, id), with all documents in whole epochs and, in the last one, those whose tokens
 fit the rest of the budget. Where the last epoch is cut is found from sums over blocks; only the block that holds the
 cut is looked at by document.
+
+The mix itself is dealt into blocks of about BLOCK_DOCS rows. A source's epochs, one permutation after the other, are spread
+evenly over all blocks, so each block has the sources by their weights; within a block the rows are permuted again.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import WORD, written
 
 SEED, BLOCK_DOCS = 42, 4096
+#: Tokens of the mix that one task writes.
+TOKENS_A_PART = 8_000_000
 ENTROPY, MAX_EPOCHS = 0.98, 2.0
 
 
@@ -83,19 +88,19 @@ def _copies(seed: int) -> Column:
 
 def _meet(rows: DataFrame, plan: list[tuple]) -> DataFrame:
     """Rows with id and source, and their source's plan: a row a source, so the rows are not shuffled."""
-    table = rows.sparkSession.createDataFrame(plan, "of string, weight double, epochs double, whole long, rest long, blocks long, last long")
+    table = rows.sparkSession.createDataFrame([p[:7] for p in plan], "of string, weight double, epochs double, whole long, rest long, blocks long, last long")
     table = F.broadcast(table) if len(plan) <= 100_000 else table
     return rows.join(table, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
 
 def _planned(rows: DataFrame, budget: int | None, target_entropy: float | None, max_epochs: float | None, seed: int) -> list[tuple]:
-    """For each source of (id, source, n_tokens): weight, epochs, whole epochs, tokens left for the last, blocks, and the
-    last place of its permutation that fits (null: all do)."""
+    """For each source of (id, source, n_tokens): weight, epochs, whole epochs, tokens left for the last, blocks, the last
+    place of its permutation that fits (null: all do), rows and tokens."""
     sums = rows.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows")).collect()  # a row a source
     tokens = {r["source"]: r["tokens"] for r in sums}
     w = weights(tokens, exponent(tokens, target_entropy, max_epochs, budget))
     goes = epochs(tokens, w, budget)
-    plan = [(r["source"], w[r["source"]], goes[r["source"]], int(goes[r["source"]]), int(round(goes[r["source"]] % 1 * tokens[r["source"]])), max(1, r["rows"] // BLOCK_DOCS), None) for r in sums]
+    plan = [(r["source"], w[r["source"]], goes[r["source"]], int(goes[r["source"]]), int(round(goes[r["source"]] % 1 * tokens[r["source"]])), max(1, r["rows"] // BLOCK_DOCS), None, r["rows"], tokens[r["source"]]) for r in sums]
     placed = _meet(rows, plan).where("rest > 0").withColumn("turn", _turn(F.col("whole"), seed)).withColumn("block", (F.col("turn") / F.lit(2.0**62) * F.col("blocks")).cast("long"))
     up = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     by_block = placed.groupBy("source", "block", "rest").agg(F.sum("n_tokens").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(up), F.lit(0)))
@@ -105,7 +110,7 @@ def _planned(rows: DataFrame, budget: int | None, target_entropy: float | None,
     upto = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("turn"))
     last = inside.withColumn("upto", F.col("before") + upto).groupBy("source").agg(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("turn"))).alias("last"), F.min("turn").alias("first"))
     ends = {r["source"]: r["last"] if r["last"] is not None else r["first"] - 1 for r in last.collect()}  # a row a source
-    return [(*p[:-1], ends.get(p[0])) for p in plan]
+    return [(*p[:6], ends.get(p[0]), *p[7:]) for p in plan]
 
 
 def _rows(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
@@ -129,18 +134,52 @@ def mix(
     return met.select("id", "source", "n_tokens", "weight", "epochs", _copies(seed).alias("copies"))
 
 
+def _scheduled(met: DataFrame, plan: list[tuple], seed: int) -> tuple[DataFrame, int]:
+    """A row for each copy of rows that have met their plan, with epoch (from 0), block and turn (the order in the block), and the number of blocks."""
+    count = sum(p[3] * p[7] + p[4] / max(p[8], 1) * p[7] for p in plan)
+    blocks = max(1, round(count / BLOCK_DOCS))
+    copies = met.withColumn("copies", _copies(seed).cast("int")).where("copies > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    turn, one = _turn(F.col("epoch").cast("long"), seed), 2.0**62
+    # How far through its source's epochs a copy is; the last epoch is as long as its share of the budget.
+    part = F.when(F.col("epoch") < F.col("whole"), F.col("epoch") + turn / one).otherwise(F.col("whole") + turn / (F.coalesce("last", F.lit(1 << 62)) + 1) * (F.col("epochs") - F.col("whole")))
+    block = F.least(F.floor(part / F.col("epochs") * blocks), F.lit(blocks - 1)).cast("int")
+    return copies.withColumns({"block": block, "turn": F.xxhash64(F.lit(seed), F.lit("block"), "epoch", "id", "source")}), blocks
+
+
+def schedule(
+    docs: DataFrame, budget: int | None = None, target_entropy: float | None = ENTROPY, max_epochs: float | None = MAX_EPOCHS,
+    seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+) -> DataFrame:
+    """The mix in its order: (id, source, n_tokens, weight, epochs, epoch, block, place), a row for each copy that mix counts.
+
+    Blocks and places in them count from 0. Edge cases are those of mix; rows that repeat an id and source lie next to each
+    other.
+    """
+    rows = _rows(docs, id_col, source_col, text_col)
+    plan = _planned(rows, budget, target_entropy, max_epochs, seed)
+    found, _ = _scheduled(_meet(rows, plan), plan, seed)
+    place = F.row_number().over(Window.partitionBy("block").orderBy("turn", "id", "source", "epoch", "n_tokens")) - 1
+    return found.select("id", "source", "n_tokens", "weight", "epochs", "epoch", "block", place.alias("place"))
+
+
 def realise(
     docs: DataFrame, budget: int | None = None, target_entropy: float | None = ENTROPY, max_epochs: float | None = MAX_EPOCHS,
     seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
 ) -> DataFrame:
-    """The rows of docs, each as often as mix has it, with the columns of docs. The texts are not shuffled."""
-    plan = _planned(_rows(docs, id_col, source_col, text_col), budget, target_entropy, max_epochs, seed)
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"))
-    times = _meet(rows, plan).withColumn("copies", _copies(seed).cast("int"))
-    out = times.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    """The rows of docs, each as often as schedule has it, with the columns of docs.
+
+    Partitions are ranges of blocks, and rows lie in the schedule's order, so that what is written is the mix block by block.
+    """
+    slim = _rows(docs, id_col, source_col, text_col)
+    plan = _planned(slim, budget, target_entropy, max_epochs, seed)
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{source_col}`").cast("string").alias("source"))
+    found, blocks = _scheduled(_meet(rows, plan), plan, seed)
+    tokens = sum(p[3] * p[8] + p[4] for p in plan)
+    parts = min(blocks, max(docs.sparkSession.sparkContext.defaultParallelism, tokens // TOKENS_A_PART))
+    out = found.repartitionById(parts, (F.col("block").cast("long") * parts / blocks).cast("int")).sortWithinPartitions("block", "turn", "id", "source", "epoch")
     return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    found = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select(F.col("id").alias("doc_id"), "source", "n_tokens", "weight", "epochs", "copies")
+    found = schedule(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select(F.col("id").alias("doc_id"), "source", "n_tokens", "weight", "epochs", "epoch", "block", "place")
