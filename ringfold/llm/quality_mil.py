@@ -16,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks
+from .common import Words, chunks, fields
 from .kn_rules import _SYMBOL
 
-PASSAGE, SAMPLE, MAX_SAMPLE_BYTES = 96, 3000, 1 << 20
+#: The sample's texts and features are at most 2 * SAMPLE * MAX_SAMPLE_BYTES = 200 MB and about 1.5 times that on the driver.
+PASSAGE, SAMPLE, MAX_SAMPLE_BYTES = 96, 3000, 1 << 15
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 24, 12, 30, 128, 0.004, 1e-4
 #: Classes for pairs: begin/end, blank, line end, digit, capital, vowel, consonant, stop, mark, bracket or quote, other, beyond ASCII.
 _COARSE = np.array([0, 0, 1, 2, 3, 4, *(5 if c in "aeiou" else 6 for c in "abcdefghijklmnopqrstuvwxyz"), 7, 7, 8, 8, 8, 9, 9, 7, 10, 10, *[11] * 20])
@@ -175,7 +176,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
 
 
 def score(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, score double, and the columns named in carry as the struct rest) for every row; a null text is an empty one."""
+    """(id, score double, and the columns named in carry as the struct rest) for every row.
+
+    A null text is an empty one; a row without an id is scored like others, and rows that repeat are scored one by one. Texts
+    are scored whole, however long.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -186,7 +191,7 @@ def score(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col: s
 
     extra = F.struct(*([F.col(f"`{c}`") for c in carry] or [F.lit(0).alias("none")])).alias("rest")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), extra)
-    return rows.mapInArrow(each, f"id long, score double, rest {rows.schema['rest'].dataType.simpleString()}")
+    return rows.mapInArrow(each, fields(rows, "rest", before="id long, score double"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
