@@ -183,6 +183,34 @@ def test_clean_keeps_columns_and_untouched_texts(edge, empty):
     assert substring_dedup.clean(empty).count() == 0
 
 
+def test_clean_of_dotted_columns_repeated_and_missing_ids(spark):
+    text = " ".join(f"w{k}" for k in range(90))
+    frame = spark.createDataFrame([(None, text, 1), (4, text, 2), (4, text, 3), (3, text, 4), (None, None, 5)], "doc_id long, text string, `a.b` int")
+    out = substring_dedup.clean(frame)
+    assert out.columns == frame.columns
+    assert sorted((r["a.b"], len((r["text"] or "").split())) for r in out.collect()) == [(1, 90), (2, 0), (3, 0), (4, 90), (5, 0)]
+
+
+def test_very_long_texts(spark):
+    """Texts of over 5 MiB, beside short ones: alone in their chunk, whole in every count."""
+    rng = np.random.default_rng(5)
+    long = " ".join(f"x{n}" for n in rng.integers(0, 1 << 30, 520_000))
+    assert len(long) > 5 << 20
+    rows = [(1, long), (2, "a b " + long[-3000:]), (3, long + " end"), (4, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    n = len(long.split())
+    shared = len(rows[1][1].split()) - 3  # the first word may be cut
+    got = {r["id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.repeated_windows(frame, digest=True).collect()}
+    assert got[1] == (n, 0) and got[3] == (n + 1, n) and shared <= got[2][1] <= shared + 1 and got[4] == (0, 0)
+    assert {r["doc_id"] for r in simhash_dedup.keep_one(frame).collect()} == {1, 2, 4}
+    assert {r["id"]: r["n_words"] for r in kn_rules.rules(frame.withColumn("lang", F.lit("en"))).collect()}[3] == n + 1
+    scored = {r["id"]: (r["n_tokens"], r["score"]) for r in hmm_lm.likelihoods(frame).collect()}
+    assert scored[3][0] == n + 2 and all(-math.inf < s < 0 for _, s in scored.values())
+    out = sentencepiece_codec.decode(sentencepiece_codec.encode(frame)).collect()
+    assert {r["doc_id"]: r["decoded"] for r in out} == dict(rows)
+    assert {r["id"]: r["n_tokens"] for r in mixing.mix(frame.withColumn("source", F.lit("s"))).collect()}[1] == n
+
+
 def test_spans_are_maximal(spark):
     long = " ".join(f"w{k}" for k in range(120))
     frame = spark.createDataFrame([(1, long), (2, "x " + long + " y")], "doc_id long, text string")
@@ -468,6 +496,62 @@ def test_mixing_cuts_where_brute_force_does(spark, monkeypatch):
             assert copies == (left >= 0)
 
 
+def brute_hash(seed, *values):
+    """Spark's xxhash64 of a seed and integers or strings: each hash seeds the next."""
+    h = 42
+    for v in (seed, *values):
+        raw = v.encode() if isinstance(v, str) else v
+        h = xxhash.xxh64_intdigest(raw, h)
+    return h
+
+
+def test_schedule_against_brute_force(spark, monkeypatch):
+    """Every copy in its block and place: epochs as permutations by hash, spread evenly, permuted in each block."""
+    monkeypatch.setattr(mixing, "BLOCK_DOCS", 40)
+    monkeypatch.setattr(mixing, "TOKENS_A_PART", 100)
+    rows = [(k, "a" if k % 4 else "bc"[k % 8 == 0], "w " * (1 + k % 7)) for k in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    tokens, size = Counter(), Counter()
+    for _, s, t in rows:
+        tokens[s] += len(t) // 2
+        size[s] += 1
+    w = mixing.weights(tokens, mixing.exponent(tokens, 0.97, 3.0))
+    goes = mixing.epochs(tokens, w, None)
+    int32, int64 = (lambda v: v.to_bytes(4, "little", signed=True)), (lambda v: v.to_bytes(8, "little", signed=True))
+    turn = lambda e, i: brute_hash(int32(mixing.SEED), int64(e), int64(i)) >> 2
+    copies, count = [], 0
+    for s in tokens:
+        whole = int(goes[s])
+        rest = round(goes[s] % 1 * tokens[s])
+        own = sorted((turn(whole, i), i, len(t) // 2) for i, o, t in rows if o == s)
+        upto = np.cumsum([x[2] for x in own])
+        last = own[int((upto <= rest).sum()) - 1][0] if rest < upto[-1] else 1 << 62
+        count += whole * size[s] + rest / tokens[s] * size[s]
+        for i, o, t in rows:
+            if o == s:
+                copies += [(i, s, e, (e + turn(e, i) / 2.0**62) / goes[s]) for e in range(whole)]
+                if rest and turn(whole, i) <= last:
+                    copies.append((i, s, whole, (whole + turn(whole, i) / (last + 1) * (goes[s] - whole)) / goes[s]))
+    blocks = round(count / 40)
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    order = sorted((min(int(part * blocks), blocks - 1), signed(brute_hash(int32(mixing.SEED), "block", int32(e), int64(i), s)), i, s, e) for i, s, e, part in copies)
+    place, wanted = Counter(), []
+    for block, _, i, s, e in order:
+        wanted.append((i, s, e, block, place[block]))
+        place[block] += 1
+    found = mixing.schedule(frame, target_entropy=0.97, max_epochs=3.0).collect()
+    assert sorted((r["id"], r["source"], r["epoch"], r["block"], r["place"]) for r in found) == sorted(wanted)
+    for r in found:
+        assert r["weight"] == pytest.approx(w[r["source"]]) and r["epochs"] == pytest.approx(goes[r["source"]])
+    # Each block has the sources by their weights of documents, and the written rows lie in this order.
+    share = {s: goes[s] * size[s] / count for s in tokens}
+    for block in range(blocks):
+        own = Counter(x[1] for x in wanted if x[3] == block)
+        assert all(abs(own[s] - share[s] * 40) < 25 for s in share)
+    written = [(r["doc_id"], r["source"]) for r in mixing.realise(frame, target_entropy=0.97, max_epochs=3.0).collect()]
+    assert written == [x[:2] for x in sorted(wanted, key=lambda x: x[3:])]
+
+
 def test_exponent():
     tokens = {"a": 900, "b": 60, "c": 40, "none": 0}
     some = {k: v for k, v in tokens.items() if v}
@@ -481,6 +565,7 @@ def test_exponent():
 def test_mixing_edge_cases(edge, empty):
     found = mixing.mix(edge)
     assert found.count() == edge.count() and found.where("copies < 1").count() == 0
+    assert mixing.schedule(edge).count() == found.agg(F.sum("copies")).first()[0] and mixing.schedule(empty).count() == 0
     out = mixing.realise(edge)
     assert out.columns == edge.columns and out.count() == found.agg(F.sum("copies")).first()[0]
     assert mixing.mix(empty).count() == 0 and mixing.realise(empty).count() == 0
