@@ -17,8 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Up to so many rules the index is part of the expression; more are joined by token.
-INLINE_RULES = 2_000
+#: A joined index of up to so many rules is broadcast.
+BROADCAST_RULES = 500_000
 _UPPER, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -104,52 +104,63 @@ def _url_tokens(url: Column) -> Column:
 
 
 def _inline_hits(url: Column, rules: Sequence[PatternRule], counts: Mapping[str, int] | None) -> Column:
-    """array of the verdicts of the rules that match, by an index that is a literal of hash buckets."""
+    """array of the verdicts of the rules that match, by an index that is one constant: a line for each bucket of a hash table.
+
+    A line holds its rules as token, regex, verdict; Spark splits the constant into lines once, when it plans.
+    """
     import xxhash
 
+    rule_end, field_end, line_end = "\x01", "\x02", "\x03"  # no url token and no regex above holds these
     by_token = index(rules, counts)
     size = 2 * len(by_token) + 1
     signed = lambda h: h - (1 << 64) if h >> 63 else h
-    buckets: list[list[Column]] = [[] for _ in range(size)]
+    lines = [""] * size
     for token, numbers in by_token.items():
-        for k in numbers:
-            entry = F.struct(F.lit(token).alias("token"), F.lit(rules[k].regex).alias("regex"), F.lit(rules[k].verdict).alias("verdict"))
-            buckets[signed(xxhash.xxh64_intdigest(token.encode(), 42)) % size].append(entry)
-    kind = "array<struct<token: string, regex: string, verdict: string>>"
-    table = F.array(*(F.array(*b).cast(kind) for b in buckets))
-    rules_of = lambda t: F.filter(F.element_at(table, (F.pmod(F.xxhash64(t), F.lit(size)) + 1).cast("int")), lambda r: r["token"] == t)
-    found = F.filter(F.flatten(F.transform(_url_tokens(url), rules_of)), lambda r: F.regexp_like(url, r["regex"]))
-    return F.transform(found, lambda r: r["verdict"])
+        at = signed(xxhash.xxh64_intdigest(token.encode(), 42)) % size
+        lines[at] += "".join(field_end.join((token, rules[k].regex, rules[k].verdict)) + rule_end for k in numbers)
+    table = F.split(F.lit(line_end.join(lines)), line_end)
+    line = lambda t: F.element_at(table, (F.pmod(F.xxhash64(t), F.lit(size)) + 1).cast("int"))
+    parts = lambda t: F.transform(F.split(line(t), rule_end), lambda r: F.split(r, field_end))
+    rules_of = lambda t: F.filter(parts(t), lambda r: (F.size(r) == 3) & (r[0] == t))
+    some = F.filter(_url_tokens(url), lambda t: line(t) != "")
+    found = F.filter(F.flatten(F.transform(some, rules_of)), lambda r: F.regexp_like(url, r[1]))
+    return F.transform(found, lambda r: r[2])
 
 
 def _joined_hits(df: DataFrame, url_col: str, rules: Sequence[PatternRule], counts: Mapping[str, int] | None) -> DataFrame:
-    """(url, hits) for the distinct urls that any rule matches; rules are joined by token, of any number."""
-    table = df.sparkSession.createDataFrame([(t, rules[k].regex, rules[k].verdict) for t, ks in index(rules, counts).items() for k in ks], "token string, regex string, verdict string")
-    urls = df.select(F.col(url_col).alias("url")).distinct().withColumn("low", lower(F.col("url")))
+    """(url, hits) for the distinct urls that any rule with a token matches; such rules are a table, joined by token."""
+    table = df.sparkSession.createDataFrame([(t, rules[k].regex, rules[k].verdict) for t, ks in index(rules, counts).items() if t for k in ks], "token string, regex string, verdict string")
+    table = F.broadcast(table) if len(rules) <= BROADCAST_RULES else table
+    urls = df.select(F.col(f"`{url_col}`").alias("url")).distinct().withColumn("low", lower(F.col("url")))
     tried = urls.withColumn("token", F.explode(_url_tokens(F.col("low")))).join(table, "token")
     return tried.where(F.regexp_like("low", F.col("regex"))).groupBy("url").agg(F.collect_set("verdict").alias("hits"))
 
 
 def judge(
     df: DataFrame, url_col: str = "url", host_rules: Sequence[HostRule] = HOST_RULES, rules: Sequence[PatternRule] = PATTERN_RULES,
-    counts: Mapping[str, int] | None = None, into: str = "judged", inline: bool | None = None,
+    counts: Mapping[str, int] | None = None, into: str = "judged", inline: bool = True,
 ) -> DataFrame:
     """df and a column `into`: struct<host, path, rule, verdict>. A column of that name is replaced.
 
     The longest host rule that fits decides and is named in rule. Else rule is null and patterns decide: allow if any
     matching rule allows or none matches, block otherwise. A null or empty url has an empty host and path, fits no rule
     and is allowed. Rows are judged one by one, so repeated rows stay repeated.
-    inline: whether the index is a literal in the plan, which then has no join; by default up to INLINE_RULES rules.
+    Urls are judged whole, however long. inline: whether the index is a constant in the plan, which then has no join, for any
+    number of rules that a plan may carry; else it is a table, joined by token, and only rules without a token are in the plan.
     """
-    url = F.col(url_col)
+    url = F.col(f"`{url_col}`")
     host, path = parts(url)
     own = _host_rule(host, path, host_rules)
     verdict = lambda hits: F.when(F.coalesce(F.array_contains(hits, "block"), F.lit(False)) & ~F.array_contains(hits, "allow"), "block").otherwise("allow")
     judged = lambda hits: F.struct(host.alias("host"), path.alias("path"), own["rule"].alias("rule"), F.coalesce(own["verdict"], verdict(hits)).alias("verdict"))
-    if len(rules) <= INLINE_RULES if inline is None else inline:
+    if inline:
         return df.withColumn(into, judged(_inline_hits(lower(url), rules, counts)))
-    hits = _joined_hits(df, url_col, rules, counts).withColumnsRenamed({"url": "__url", "hits": "__hits"})
-    return df.join(hits, url.eqNullSafe(F.col("__url")), "left").withColumn(into, judged(F.col("__hits"))).drop("__url", "__hits")
+    taken = {c.lower() for c in df.columns}
+    other, hits = (next(n for k in range(len(taken) + 1) if (n := f"{name}{k}") not in taken) for name in ("url_", "hits_"))
+    found = _joined_hits(df, url_col, rules, counts).withColumnsRenamed({"url": other, "hits": hits})
+    bare = [r for r in rules if not r.tokens]
+    every = F.concat(F.coalesce(F.col(hits), F.array().cast("array<string>")), F.coalesce(_inline_hits(lower(url), bare, None), F.array().cast("array<string>")))
+    return df.join(found, url.eqNullSafe(F.col(other)), "left").withColumn(into, judged(every)).drop(other, hits)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

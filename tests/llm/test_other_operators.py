@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import pathlib
 import random
+import re
 import shutil
 import subprocess
 import sys
@@ -63,6 +64,22 @@ def test_url_filter_against_all_rules(pages, no_pages):
     assert url_filter.judge(no_pages).count() == 0
 
 
+def test_many_rules_and_clashing_columns(spark):
+    """Thousands of rules in both forms of the index, against all rules tried on all urls; columns like those used inside."""
+    rng = random.Random(2)
+    rules = [url_filter.PatternRule(f"/t{rng.randrange(4000)}/x{rng.randrange(9)}", rng.choice(["block", "block", "allow"])) for _ in range(3000)] + [url_filter.PatternRule("*q=*z|")]
+    urls = [f"http://h.org/t{rng.randrange(4000)}/x{rng.randrange(9)}/y?q={rng.choice('az')}" for _ in range(300)] + [None, "", "x" * 100_000 + "/t1/x1"]
+    frame = spark.createDataFrame([(u, 1, 2) for u in urls], "url string, __hits int, hits_0 int")
+    out = [url_filter.judge(frame, rules=rules, inline=x) for x in (True, False)]
+    assert all(o.columns == [*frame.columns, "judged"] for o in out)
+    got = [sorted((r["url"] or "", r["judged"]["verdict"]) for r in o.collect()) for o in out]
+    assert got[0] == got[1]
+    compiled = [(re.compile(r.regex), r.verdict) for r in rules]
+    for url, verdict in got[0]:
+        hits = {v for x, v in compiled if x.search(url)}
+        assert verdict == ("block" if hits == {"block"} else "allow")
+
+
 def test_rules_stand_under_their_rarest_token():
     rules = [url_filter.PatternRule(p) for p in ("/ads/common/", "/ads/rare1/", "/ads/", "*x*")]
     assert url_filter.index(rules) == {"common": [0], "rare1": [1], "ads": [2], "": [3]}
