@@ -5,9 +5,9 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import re
+import sys
 import tempfile
 import uuid
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,13 @@ CHUNK_BYTES = 1 << 20
 #: A key that holds more than one row in so many is hot. There are fewer hot keys than this, whatever the input.
 HOT_KEYS = 256
 
+if "pyspark.worker" in sys.modules:
+    # In Spark's Python workers, and only there: else glibc, once arrays of some MB were freed, keeps such memory in each
+    # worker instead of giving it back. It has to be set before the first arrays.
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        pa.set_memory_pool(pa.system_memory_pool())
+
 _WHITE = np.zeros(256, dtype=bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -71,14 +78,6 @@ def met(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
     return tagged.where("hot").drop("hot").unionByName(rest)
 
 
-@cache
-def lean() -> None:
-    """For workers: else glibc, once arrays of some MB were freed, keeps such memory in each of them instead of giving it back."""
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL("libc.so.6").mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
-        pa.set_memory_pool(pa.system_memory_pool())
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spreads every input bit over all 64 bits; one to one."""
     h = h ^ (h >> np.uint64(30))
@@ -106,7 +105,6 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def chunks(texts: pa.Array, size: int = CHUNK_BYTES):
     """Slices (first row, texts) of about `size` bytes; a longer text stands alone."""
-    lean()
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     lengths = np.asarray(pa.compute.binary_length(texts).fill_null(0), dtype=np.int64)

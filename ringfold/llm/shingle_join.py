@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, lean, met, mix, whole, windows, written
+from .common import Words, chunks, met, mix, whole, windows, written
 from .components import components
 
 WIDTH = 5
@@ -205,7 +205,6 @@ def _meetings(docs: DataFrame, width: int) -> DataFrame:
     kinds = [pa.int64()] * 8 + [pa.binary()] + [pa.int64()] * 2
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         got: dict[int, list] = {}
         for batch in batches:
             for bucket, nodes, sigs, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -358,7 +357,6 @@ def _apart(groups: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
     dealt = dealt.join(named, "node").select("grp", "node", "component", "tile", "same", *facts)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
         if not (found := list(batches)):
             return
         grp, node, comp, tile, same, size, *odd = (c.to_numpy() for c in pa.Table.from_batches(found).columns)
