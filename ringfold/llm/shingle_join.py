@@ -6,8 +6,8 @@ there are to spare, two of the equal parts are not empty. A text sends a signatu
 that leave more parts empty also send the first n div 5 + 2 of their shingles, of which similar sets share two. So each
 similar pair meets in two signatures, and no pair is lost. m hangs on the sizes: scheme k is for pairs whose larger set
 has LEVELS[k] shingles up to LEVELS[k + 1] - 1. Where a common line makes one signature common, its texts meet in pairs of
-signatures instead. Of what meets, parities of shingles give at least how many differ (256 bits at once where texts meet, then
-a sketch that grows with the text), and the pairs they leave are compared by all shingles (64-bit hashes). Links are looked for first where they are likely (tries of SimHashes, neighbours
+signatures instead. Of what meets, a sketch of parities gives at least how many shingles differ, where texts meet, and the pairs it leaves are compared by all
+shingles (64-bit hashes). Links are looked for first where they are likely (tries of SimHashes, neighbours
 in a group); pairs that these have joined already are not compared.
 """
 
@@ -102,19 +102,6 @@ def fingerprints(v: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > np.diff(first)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def parities(v: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Of each set, whether an odd number of its shingles falls in each of 256 classes: four 64-bit numbers."""
-    n = len(first) - 1
-    odd = np.zeros((n, 4), np.uint64)
-    for a in range(0, n, 4096):
-        z = min(n, a + 4096)
-        own = v[first[a] : first[z]]
-        of = np.repeat(np.arange(z - a), np.diff(first[a : z + 1]))
-        counts = np.bincount(of * 256 + (own & np.uint64(255)).astype(np.int64), minlength=256 * (z - a))
-        odd[a:z] = np.packbits((counts & 1).astype(np.uint8).reshape(-1, 256), axis=1, bitorder="little").view(np.uint64)
-    return odd
-
-
 def signatures(v: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(signature, which set) of all sets."""
     n, spread = np.diff(first), mix(v ^ _ODD)
@@ -152,7 +139,7 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def _meetings(docs: DataFrame, width: int) -> DataFrame:
-    """(id, key, node, fp, n, p0..p3, sketch) of each row: node names its set of n shingles, fp is the set's SimHash, and the others its
+    """(id, key, node, fp, n, sketch) of each row: node names its set of n shingles, fp is the set's SimHash, sketch its
     parities; and (grp, node) of the sets that meet in a signature."""
     texts = _texts(docs)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -184,7 +171,7 @@ def _meetings(docs: DataFrame, width: int) -> DataFrame:
                 own, key = batch.column(0).slice(start, len(part)), np.asarray(batch.column(1).slice(start, len(part)), dtype=np.int64)
                 ids, none = np.asarray(own.fill_null(0), dtype=np.int64), np.asarray(own.is_null())
                 # Rows go along as one packed row, to any task: -1 - bucket.
-                numbers = np.stack([ids, key, none, fingerprints(v, first).view(np.int64), np.diff(first), *parities(v, first).view(np.int64).T])
+                numbers = np.stack([ids, key, none, fingerprints(v, first).view(np.int64), np.diff(first)])
                 sketches = pa.array([_sketch(v[first[k] : first[k + 1]]) for k in range(len(node))], pa.binary())
                 yield pa.record_batch([pa.array([-1 - int(node[0] % np.uint64(buckets))], pa.int32()), pa.array([node.tobytes()]), pa.array([numbers.tobytes()]), pa.array([_packed(sketches)])], names_)
                 fresh = np.zeros(len(node), bool)  # equal texts send once
@@ -201,8 +188,8 @@ def _meetings(docs: DataFrame, width: int) -> DataFrame:
         if sigs:
             yield from flush()
 
-    columns = ["id", "key", "fp", "n", "p0", "p1", "p2", "p3", "sketch", "grp", "node"]
-    kinds = [pa.int64()] * 8 + [pa.binary()] + [pa.int64()] * 2
+    columns = ["id", "key", "fp", "n", "sketch", "grp", "node"]
+    kinds = [pa.int64()] * 4 + [pa.binary()] + [pa.int64()] * 2
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: dict[int, list] = {}
@@ -210,7 +197,7 @@ def _meetings(docs: DataFrame, width: int) -> DataFrame:
             for bucket, nodes, sigs, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket < 0:
                     n = len(nodes) // 8
-                    ids, key, none, *more = np.frombuffer(sigs, np.int64).reshape(9, n)
+                    ids, key, none, *more = np.frombuffer(sigs, np.int64).reshape(5, n)
                     yield pa.record_batch([pa.array(ids, mask=none != 0), *map(pa.array, [key, *more]), _unpacked(at, n), pa.nulls(n, pa.int64()), pa.array(np.frombuffer(nodes, np.int64))], columns)
                 else:
                     n = len(sigs) // 6
@@ -232,7 +219,7 @@ def _meetings(docs: DataFrame, width: int) -> DataFrame:
             s, n = mix(s[keep] + np.uint64((bucket * int(_ODD)) % (1 << 64))).view(np.int64), n[keep]
             for a in range(0, len(s), 65536):
                 k = len(s[a : a + 65536])
-                yield pa.record_batch([*(pa.nulls(k, t) for t in kinds[:9]), pa.array(s[a : a + 65536]), pa.array(n[a : a + 65536])], columns)
+                yield pa.record_batch([*(pa.nulls(k, t) for t in kinds[:5]), pa.array(s[a : a + 65536]), pa.array(n[a : a + 65536])], columns)
 
     sent = texts.mapInArrow(send, "bucket int, nodes binary, sigs binary, at binary")
     dealt = sent.repartitionById(buckets, F.when(F.col("bucket") < 0, -1 - F.col("bucket")).otherwise(F.col("bucket")))
@@ -250,27 +237,61 @@ def _unpacked(blob: bytes, n: int) -> pa.Array:
 
 
 def _sketch(own: np.ndarray) -> bytes:
-    """The number of shingles, and for each of 2 n bits or more whether an odd number of shingles falls there."""
+    """For each of 1.4 n bits or more (64 times a power of two) whether an odd number of the n shingles falls there."""
     bits = 64
-    while bits < 2 * len(own):
+    while 5 * bits < 7 * len(own):
         bits *= 2
     odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.int64(len(own)).tobytes() + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
-
-def _may_be_similar(one: bytes, two: bytes) -> bool:
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches by size, and each one folded to half its size, as sketches of similar sets differ at most so much in size."""
+
+    def __init__(self, sketches: pa.Array):
+        self.size = np.asarray(pa.compute.binary_length(sketches), np.int64) // 8
+        self.of, self.row = {}, np.zeros(len(self.size), np.int64)
+        for size in np.unique(self.size):
+            at = np.flatnonzero(self.size == size)
+            self.row[at] = np.arange(len(at))
+            raw = b"".join(sketches[int(k)].as_buffer() for k in at)
+            self.of[int(size)] = np.frombuffer(raw, np.uint64).reshape(len(at), size)
+        self.half = {n: m[:, : n // 2] ^ m[:, n // 2 :] for n, m in self.of.items() if n > 1}
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """At least how many shingles differ; 0 for sketches of very different sizes."""
+        out = np.zeros(len(i), np.int64)
+        least, most = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
+        for size in np.unique(least):
+            for a in (1, 2):
+                pairs = np.flatnonzero((least == size) & (most == a * size))
+                for k in range(0, len(pairs), max(1, (1 << 21) // int(size))):
+                    p = pairs[k : k + max(1, (1 << 21) // int(size))]
+                    x, y = self._at(i[p], int(size)), self._at(j[p], int(size))
+                    out[p] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+        return out
+
+    def _at(self, k: np.ndarray, size: int) -> np.ndarray:
+        out, own = np.empty((len(k), size), np.uint64), self.size[k] == size
+        out[own] = self.of[size][self.row[k[own]]]
+        if not own.all():
+            out[~own] = self.half[2 * size][self.row[k[~own]]]
+        return out
+
+
+def _may_be_similar(one: tuple[int, bytes], two: tuple[int, bytes]) -> bool:
     """False only if the sizes or the parities show that too many shingles differ."""
-    a, b = (int(np.frombuffer(x, np.int64, 1)[0]) for x in (one, two))
+    a, b = one[0], two[0]
     if 5 * min(a, b) < 4 * max(a, b):
         return False
-    x, y = (np.frombuffer(x, np.uint8, -1, 8) for x in (one, two))
+    x, y = (np.frombuffer(x, np.uint8) for x in (one[1], two[1]))
     least = min(len(x), len(y))
     x, y = (np.bitwise_xor.reduce(z.reshape(-1, least), axis=0) for z in (x, y))
     return 9 * int(np.bitwise_count(x ^ y).sum()) <= a + b
 
 
-def _are_similar(one: bytes, two: bytes) -> bool:
-    x, y = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+def _are_similar(one: tuple[int, bytes], two: tuple[int, bytes]) -> bool:
+    x, y = np.frombuffer(one[1], np.uint64), np.frombuffer(two[1], np.uint64)
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 5 * both >= 4 * (len(x) + len(y) - both)
 
@@ -290,27 +311,29 @@ def _sets(docs: DataFrame, nodes: DataFrame, live: DataFrame, width: int) -> Dat
                 rows = [k for k in range(len(node)) if node[k] not in seen and not seen.add(node[k])]
                 for a in range(0, len(rows), 256):
                     some = rows[a : a + 256]
-                    yield pa.record_batch([pa.array(node[some]), pa.array([v[first[k] : first[k + 1]].tobytes() for k in some], pa.binary())], ["node", "own"])
+                    yield pa.record_batch([pa.array(node[some]), pa.array([v[first[k] : first[k + 1]].tobytes() for k in some], pa.binary()), pa.array([int(first[k + 1] - first[k]) for k in some], pa.int64())], ["node", "own", "n"])
 
     asked = texts.join(keys, texts["key"] == F.col("k"), "left_semi").select("text")
-    return written(asked.mapInArrow(each, "node long, own binary").dropDuplicates(["node"]), "sets")
+    return written(asked.mapInArrow(each, "node long, own binary, n long").dropDuplicates(["node"]), "sets")
 
 
 def _compared(pairs: DataFrame, own: DataFrame, test, name: str) -> DataFrame:
-    """The pairs (a, b) for which test(own of a, own of b) holds."""
+    """The pairs (a, b) for which test((n, own) of a, (n, own) of b) holds."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = pa.array([test(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
+            m, n = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            ends = zip(zip(m, batch.column(3), strict=True), zip(n, batch.column(5), strict=True), strict=True)
+            keep = pa.array([test((k, x.as_buffer()), (l, y.as_buffer())) for (k, x), (l, y) in ends], pa.bool_())
             yield pa.record_batch([batch.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
 
-    one, two = own.select(F.col("node").alias("a"), F.col("own").alias("x")), own.select(F.col("node").alias("b"), F.col("own").alias("y"))
-    return written(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(each, "a long, b long"), name)
+    end = lambda c: own.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("own").alias(f"own_{c}"))
+    return written(pairs.join(end("a"), "a").join(end("b"), "b").select("a", "b", "n_a", "own_a", "n_b", "own_b").mapInArrow(each, "a long, b long"), name)
 
 
 def similar(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     """The pairs (a, b) whose sets have a similarity of 0.8 or more."""
-    left = _compared(pairs, nodes.select("node", F.col("sketch").alias("own")), _may_be_similar, "left")
+    left = _compared(pairs, nodes.select("node", "n", F.col("sketch").alias("own")), _may_be_similar, "left")
     live = left.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     return _compared(left, _sets(docs, nodes, live, width), _are_similar, "similar")
 
@@ -345,7 +368,7 @@ def _chains(groups: DataFrame) -> DataFrame:
 
 def _apart(groups: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
     """The pairs of a group that the components in `named` do not join yet, as far as sizes and parities let them be similar."""
-    facts = ["n", "p0", "p1", "p2", "p3"]
+    facts = ["n", "sketch"]
     named = nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"), *facts)
     sizes = groups.join(named.select("node", "component"), "node").groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("copies"))
     open_ = written(sizes.where("low <> high").select("grp", "copies", F.ceil(F.col("copies") / TILE).cast("int").alias("tiles")), "open")
@@ -359,10 +382,13 @@ def _apart(groups: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (found := list(batches)):
             return
-        grp, node, comp, tile, same, size, *odd = (c.to_numpy() for c in pa.Table.from_batches(found).columns)
+        table = pa.Table.from_batches(found)
+        grp, node, comp, tile, same, size = (table.column(k).to_numpy() for k in range(6))
         order = np.lexsort((node, comp, grp))
         grp, node, comp, tile, same, size = (x[order] for x in (grp, node, comp, tile, same, size))
-        odd = np.stack([x[order].view(np.uint64) for x in odd], axis=1)  # bits of a negative number are counted without its sign
+        # A set's sketch is the same in all its groups.
+        _, first, of = np.unique(node, return_index=True, return_inverse=True)
+        sketches = Sketches(table.column(6).combine_chunks().take(pa.array(order[first])))
         last = np.searchsorted(grp, grp, "right")
         starts = np.flatnonzero(np.r_[True, (grp[1:] != grp[:-1]) | (comp[1:] != comp[:-1])])
         after = np.repeat(np.r_[starts[1:], len(grp)], np.diff(np.r_[starts, len(grp)]))  # where a row's component ends
@@ -375,14 +401,14 @@ def _apart(groups: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
             j = np.repeat(after[k:z], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             ok = ((tile[i] != tile[j]) | same[i]) & (5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j]))
             i, j = i[ok], j[ok]
-            ok = 9 * np.bitwise_count(odd[i] ^ odd[j]).sum(axis=1, dtype=np.int64) <= size[i] + size[j]
+            ok = 9 * sketches.differ(of[i], of[j]) <= size[i] + size[j]
             i, j = i[ok], j[ok]
             pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
             k = z
 
     tasks = max(groups.sparkSession.sparkContext.defaultParallelism, total // 200_000)
-    return dealt.repartition(tasks, "grp").mapInArrow(each, "a long, b long").distinct()
+    return written(dealt.repartition(tasks, "grp").mapInArrow(each, "a long, b long"), "apart").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, tries=None) -> DataFrame:
@@ -393,7 +419,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, tries=None) -> DataFram
     n distinct fingerprints in column fp; they are compared like any others.
     """
     met_ = _meetings(docs, width)
-    facts = ["node", "n", "p0", "p1", "p2", "p3", "sketch"]
+    facts = ["node", "n", "sketch"]
     rows = met_.where("grp is null").groupBy("id", "key", "node").agg(F.count("*").alias("times"))
     nodes = written(met_.where("grp is null").groupBy(*facts).agg(F.min("key").alias("key"), F.min("fp").alias("fp")), "nodes")
     groups = _narrowed(met_.where("grp is not null").select("grp", "node"))
