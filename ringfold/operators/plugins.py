@@ -70,14 +70,13 @@ class Sparse:
         return got.mapInPandas(each, schema)
 
     def grid(self) -> DataFrame:
-        """(rank, row, col): about sqrt(p) columns; ranks of an incomplete last row join the rows above by column."""
+        """(rank, row, col): about sqrt(p) columns; ranks of an incomplete last row join a row above, each in its own column."""
         root = math.sqrt(self.size)
         cols = math.ceil(root) if self.size >= math.floor(root) * math.ceil(root) else math.floor(root)
         rows = self.size // cols
         rank = F.col("rank")
-        extra = _div(rank, cols) >= rows
-        row = F.when(extra, rank % cols).otherwise(_div(rank, cols))
-        col = F.when(extra, F.lit(cols)).otherwise(rank % cols)
+        row = F.when(_div(rank, cols) >= rows, rank % cols).otherwise(_div(rank, cols))
+        col = rank % cols
         return self.ranks.select("rank", row.cast("int").alias("row"), col.cast("int").alias("col"))
 
     def grid_alltoallv_with_envelope(self, *, send_buf: DataFrame, send_counts: DataFrame, envelope: str = "source_and_destination") -> DataFrame:

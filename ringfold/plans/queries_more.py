@@ -241,7 +241,7 @@ def sort_descending(comm, buf, *_):
     return comm.sort(send_buf=buf, by=[F.col("value").desc()])
 
 
-@registered("l03_sort_struct", ", " + SORTED.format("value % 10, value // 10, value").replace("s AS", "s AS", 1))
+@registered("l03_sort_struct", ", " + SORTED.format("value % 10, value // 10, value"))
 def sort_struct(comm, buf, *_):
     z = buf.withColumn("value", F.struct((F.col("value") % 10).alias("x"), F.expr("value div 10").alias("y"), F.col("value").alias("z")))
     return comm.sort(send_buf=z).withColumn("value", F.col("value.z"))
@@ -283,7 +283,8 @@ def sparse_callback(comm, buf, spark, sf_dir):
     return got.groupBy("rank", "source").agg(F.sum("digest").alias("digest"))
 
 
-@registered("l05_grid", "SELECT * FROM (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 1, 1), (4, 0, 2)) t(rnk, \"row\", col)".replace("(0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 1, 1), (4, 0, 2)", "(0, 0, 0), (1, 0, 1), (2, 1, 0), (3, 1, 1), (4, 0, 2)"))
+@registered("l05_grid", f"""SELECT CAST(r AS INTEGER) AS rnk, CAST(CASE WHEN r // c >= {P} // c THEN r % c ELSE r // c END AS INTEGER) AS "row", CAST(r % c AS INTEGER) AS col
+FROM range({P}) ranks(r), (SELECT CAST(CASE WHEN {P} >= floor(sqrt({P})) * ceil(sqrt({P})) THEN ceil(sqrt({P})) ELSE floor(sqrt({P})) END AS BIGINT) AS c)""")
 def grid(comm, *_):
     return comm.grid()
 

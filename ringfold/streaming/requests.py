@@ -45,6 +45,16 @@ class NonBlockingResult:
         """None while running."""
         return self._take(self.request.wait()) if self.request.test() else None
 
+    @property
+    def done(self) -> bool:
+        """Also tells a finished operation without a result from a running one."""
+        return self.request.test()
+
+    def extract(self) -> Request:
+        """Hands over the request; nothing is left here."""
+        self._taken, request, self.request = True, self.request, Request()
+        return request
+
     def _take(self, found):
         if self._taken:
             raise RuntimeError("the result was taken before")
@@ -54,15 +64,23 @@ class NonBlockingResult:
 
 def start(df: DataFrame, action: Callable[[DataFrame], object] | None = None) -> NonBlockingResult:
     """Starts an action on df (by default: compute it and cache the result) and returns at once."""
-    sc, group = df.sparkSession.sparkContext, f"request-{uuid.uuid4().hex}"
+    return _submit(df.sparkSession.sparkContext, lambda: action(df) if action else _computed(df))
+
+
+def _computed(found):
+    """A table is computed and cached; whatever else an operation gives is there already."""
+    if isinstance(found, DataFrame):
+        found = found.persist()
+        found.count()
+    return found
+
+
+def _submit(sc, call: Callable[[], object]) -> NonBlockingResult:
+    group = f"request-{uuid.uuid4().hex}"
 
     def run():
         sc.setJobGroup(group, "non-blocking operation", interruptOnCancel=True)
-        if action:
-            return action(df)
-        cached = df.persist()
-        cached.count()
-        return cached
+        return call()
 
     return NonBlockingResult(Request(_threads.submit(run), lambda: sc.cancelJobGroup(group)))
 
@@ -127,4 +145,5 @@ class NonBlocking:
         if not name.startswith("i") or not hasattr(self.comm, name[1:]):
             raise AttributeError(name)
         blocking = getattr(self.comm, name[1:])
-        return lambda *a, **k: start(blocking(*a, **k))
+        # The call itself runs in the thread too, as some operations compute something before they return.
+        return lambda *a, **k: _submit(self.comm.spark.sparkContext, lambda: _computed(blocking(*a, **k)))

@@ -1,9 +1,11 @@
 """Non-blocking operations, measurements, algorithms, sources."""
 
+import math
+
 import pytest
 
 from ringfold.functions.measure import Counter, Timer, to_json_text
-from ringfold.operators import Communicator, comm_world
+from ringfold.operators import Communicator, Environment, comm_world, world_size
 from ringfold.operators.buffer import from_lists
 from ringfold.plans import algorithms
 from ringfold.sources import views
@@ -88,3 +90,32 @@ def test_bfs_raises_where_levels_are_left(spark):
     path = spark.createDataFrame([(v, v + 1) for v in range(7)], "src long, dst long")
     with pytest.raises(RuntimeError, match="max_levels"):
         algorithms.bfs_levels(path, 0, 3)
+
+
+@pytest.mark.parametrize("p", [1, 3, 4, 5, 11, 13])
+def test_grid_of_any_number_of_ranks(spark, p):
+    """Rows and columns differ by one at most; ranks of an incomplete last row keep their column and join another row."""
+    got = {r["rank"]: (r["row"], r["col"]) for r in Communicator(spark, p).grid().collect()}
+    low, high = math.isqrt(p), math.ceil(math.sqrt(p))
+    cols = high if p >= low * high else low
+    full = p // cols * cols
+    assert got == {r: (r // cols if r < full else r % cols, r % cols) for r in range(p)}
+
+
+def test_non_blocking_barrier_and_extracted_requests(spark):
+    comm = NonBlocking(Communicator(spark, 3))
+    b = from_lists(spark, [[1], [2], [3]], "long")
+    found = comm.ibarrier(b).wait()
+    assert [x.count() for x in found] == [3]
+    result = comm.iallreduce(send_buf=b, op="sum")
+    request = result.extract()
+    assert {r["value"] for r in request.wait().collect()} == {6} and result.done
+    with pytest.raises(RuntimeError):
+        result.wait()
+
+
+def test_environment(spark):
+    assert Environment.is_valid_tag(0) and Environment.is_valid_tag(Environment.tag_upper_bound)
+    assert not Environment.is_valid_tag(-1) and not Environment.is_valid_tag(Environment.tag_upper_bound + 1)
+    assert Environment.wtime() <= Environment.wtime() and 0 < Environment.wtick() < 1
+    assert world_size(spark) == comm_world(spark).size
