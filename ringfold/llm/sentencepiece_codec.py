@@ -67,7 +67,7 @@ def build(model: bytes):
     tok.normalizer = normalizers.Sequence(steps)
     if not any(re.search(f"[^{MARK}]{MARK}", p) for p, _, k in pieces if k == kinds.NORMAL):
         tok.pre_tokenizer = pre_tokenizers.Split(Regex(f"{MARK}+[^{MARK}]*|[^{MARK}]+"), "isolated")
-    tok.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * spec.add_dummy_prefix])
+    tok.decoder = decoders.Sequence([decoders.Metaspace(MARK, "never", False), decoders.ByteFallback(), decoders.Fuse(), *[decoders.Strip(" ", 1, 0)] * spec.add_dummy_prefix])
     own = [AddedToken(p, normalized=False) for p, _, k in pieces if k == kinds.USER_DEFINED]
     if own:
         tok.add_tokens(own)
