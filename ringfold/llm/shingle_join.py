@@ -29,6 +29,8 @@ WIDTH = 5
 BYTES_A_BUCKET, GATHERED, PAIRS_AT_ONCE = 12_000_000, 24_000_000, 1 << 18
 #: Texts in a group above which its texts meet in pairs of signatures, and texts of a group that one task compares with each other.
 LARGE, TILE = 4096, 2048
+#: Of its groups each set tells so many, the least, where it is compared: a pair is left to the least of those that both tell.
+TOLD = 12
 #: Texts whose keys are broadcast at most, when the sets of some are asked for; the keys of more are joined.
 BROADCAST_KEYS = 2_000_000
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -366,29 +368,48 @@ def _chains(groups: DataFrame) -> DataFrame:
     return groups.select("grp", "node").repartitionByRange("grp", "node").sortWithinPartitions("grp", "node").mapInArrow(each, "a long, b long").distinct()
 
 
+def _met_before(one: np.ndarray, two: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each pair of rows of two tables of groups, whether they share a group less than the pair's own."""
+    before = np.zeros(len(place), bool)
+    for k in range(one.shape[1]):
+        before |= (one[:, k] < place) & (two == one[:, k : k + 1]).any(axis=1)
+    return before
+
+
 def _apart(groups: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
-    """The pairs of a group that the components in `named` do not join yet, as far as sizes and parities let them be similar."""
+    """The pairs of a group that the components in `named` do not join yet, as far as sizes and parities let them be similar.
+
+    Sets that meet in many groups are a row in few of them: a group leaves out a pair whose two sets both tell of a lesser
+    group of theirs, where the pair meets too. The least of all their groups never leaves it out.
+    """
     facts = ["n", "sketch"]
     named = nodes.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"), *facts)
     sizes = groups.join(named.select("node", "component"), "node").groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("copies"))
     open_ = written(sizes.where("low <> high").select("grp", "copies", F.ceil(F.col("copies") / TILE).cast("int").alias("tiles")), "open")
     total = groups.count()
+    told = met(groups, open_, "grp", total).groupBy("node").agg(F.slice(F.array_sort(F.collect_set("grp")), 1, TOLD).alias("told"))
+    named = written(named.join(told, "node"), "told")
     # A large group is cut in tiles, and each pair of tiles goes to a task of its own.
     tile = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     tiled = met(groups, open_, "grp", total).withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = tiled.select(F.xxhash64("grp", F.least("tile", "other"), F.greatest("tile", "other")).alias("grp"), "node", "tile", (F.col("tile") == F.col("other")).alias("same"))
-    dealt = dealt.join(named, "node").select("grp", "node", "component", "tile", "same", *facts)
+    dealt = tiled.select(F.xxhash64("grp", F.least("tile", "other"), F.greatest("tile", "other")).alias("task"), "grp", "node", "tile", (F.col("tile") == F.col("other")).alias("same"))
+    dealt = dealt.join(named, "node").select("task", "node", "component", "tile", "same", *facts, "grp", "told")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not (found := list(batches)):
             return
         table = pa.Table.from_batches(found)
         grp, node, comp, tile, same, size = (table.column(k).to_numpy() for k in range(6))
+        place = table.column(7).to_numpy()  # the group itself; grp is one of its pairs of tiles
         order = np.lexsort((node, comp, grp))
-        grp, node, comp, tile, same, size = (x[order] for x in (grp, node, comp, tile, same, size))
+        grp, node, comp, tile, same, size, place = (x[order] for x in (grp, node, comp, tile, same, size, place))
         # A set's sketch is the same in all its groups.
         _, first, of = np.unique(node, return_index=True, return_inverse=True)
         sketches = Sketches(table.column(6).combine_chunks().take(pa.array(order[first])))
+        lists = table.column(8).combine_chunks().take(pa.array(order[first]))
+        count = np.asarray(pa.compute.list_value_length(lists), np.int64)
+        told = np.full((len(first), TOLD), np.iinfo(np.int64).max)
+        told[np.arange(TOLD) < count[:, None]] = lists.flatten().to_numpy()
         last = np.searchsorted(grp, grp, "right")
         starts = np.flatnonzero(np.r_[True, (grp[1:] != grp[:-1]) | (comp[1:] != comp[:-1])])
         after = np.repeat(np.r_[starts[1:], len(grp)], np.diff(np.r_[starts, len(grp)]))  # where a row's component ends
@@ -403,12 +424,14 @@ def _apart(groups: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
             i, j = i[ok], j[ok]
             ok = 9 * sketches.differ(of[i], of[j]) <= size[i] + size[j]
             i, j = i[ok], j[ok]
+            ok = ~_met_before(told[of[i]], told[of[j]], place[i])
+            i, j = i[ok], j[ok]
             pairs = np.unique(np.stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])], 1), axis=0)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
             k = z
 
     tasks = max(groups.sparkSession.sparkContext.defaultParallelism, total // 200_000)
-    return written(dealt.repartition(tasks, "grp").mapInArrow(each, "a long, b long"), "apart").distinct()
+    return written(dealt.repartition(tasks, "task").mapInArrow(each, "a long, b long"), "apart").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, tries=None) -> DataFrame:
