@@ -130,9 +130,9 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, digest: bool = False,
         if len(h):
             number = ids.fill_null(0).to_numpy()[row]
             order, starts, least = _runs(h, number)
-            loses = np.zeros(len(starts), bool)
+            distinct, loses = h[order][starts], np.zeros(len(starts), bool)
             for blob in told.column("lost").to_pylist():
-                loses[np.searchsorted(h[order][starts], unpack(blob))] = True
+                loses[np.searchsorted(distinct, unpack(blob))] = True
             n = np.diff(np.r_[starts, len(h)])
             off = word[order[(number[order] > np.repeat(least, n)) | np.repeat(loses, n)]]
             np.add.at(gone, off, 1)
