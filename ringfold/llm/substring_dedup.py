@@ -76,10 +76,11 @@ def _runs(h: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return order, starts, np.minimum.reduceat(ids[order], starts)
 
 
-def repeated_windows(docs: DataFrame, width: int = WIDTH, digest: bool = False, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_windows(docs: DataFrame, width: int = WIDTH, digest: bool = False, unchanged: bool = True, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_words, n_removed, spans, and kept (or, if digest, only kept_sha256).
 
     carry: columns of docs that come along, as the struct `rest`.
+    unchanged: if False, kept is null where no word goes, so that such a text is not made a second time.
 
     spans: the maximal intervals [first, past) of word numbers that go. kept: the other words joined by one space.
     A text that is null or has no words gives 0, 0, no spans and an empty kept; one of fewer than `width` words loses none.
@@ -144,11 +145,14 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, digest: bool = False,
         first = np.r_[0, np.cumsum(counts)]
         for k, text in enumerate(texts.cast(pa.binary())):
             mask = gone[first[k] : first[k + 1]]
-            words = (text.as_py() or b"").split()
             turns = np.flatnonzero(np.diff(mask, prepend=False, append=False)).tolist() if mask.any() else []
             spans.append([{"first": a, "past": b} for a, b in zip(turns[::2], turns[1::2], strict=True)])
+            removed.append(int(mask.sum()))
+            if not (turns or unchanged):
+                kept.append(None)
+                continue
+            words = (text.as_py() or b"").split()
             left = words if not turns else [w for a, b in zip([0, *turns[1::2]], [*turns[::2], len(words)], strict=True) for w in words[a:b]]
-            removed.append(len(words) - len(left))
             line = b" ".join(left)
             kept.append(hashlib.sha256(line).hexdigest() if digest else line)
         last = pa.array(kept, pa.string()) if digest else pa.array(kept, pa.binary()).cast(pa.string())
@@ -165,7 +169,7 @@ def clean(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     n_chars, if there is one, follows the new text. A document that loses all its words stays with an empty text.
     """
-    found = repeated_windows(docs, width, carry=tuple(docs.columns))
+    found = repeated_windows(docs, width, unchanged=False, carry=tuple(docs.columns))
     text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("rest.text"))
     new = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("rest.n_chars"))}
     return found.select(*(new.get(c, F.col(f"rest.`{c}`")).alias(c) for c in docs.columns))
