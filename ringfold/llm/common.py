@@ -60,6 +60,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def planned_once(spark: SparkSession):
+    """Within it queries of this session run as they are planned at first. Adaptive execution takes a driver's thread for each
+    exchange, which lives for a minute more, so that a loop of many small exchanges gathers hundreds of them."""
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def give_back() -> None:
+    """Returns memory that this process has freed to the system; else Arrow and glibc keep it for later."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def fields(of: DataFrame, name: str, before: str = "", after: str = "") -> StructType:
     """A schema with the column `name` of a table between others; other names may hold anything."""
     parts = lambda ddl: StructType.fromDDL(ddl).fields if ddl else []

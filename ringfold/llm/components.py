@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import met, written
+from .common import met, planned_once, written
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -17,16 +17,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     pairs = lambda u, v: F.array(F.struct(u.alias("u"), v.alias("v")))
     stars = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    seen, n = None, stars.count()
-    for _ in range(rounds):
-        both = stars.select(F.explode(F.concat(pairs(F.col("u"), F.col("v")), pairs(F.col("v"), F.col("u")))).alias("x")).select("x.*")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("copies"))
-        large = met(both.where("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("copies"))
-        small = met(large, least, "u", n).select(F.explode(F.concat(pairs(F.col("v"), F.col("m")), pairs(F.col("u"), F.col("m")))).alias("x")).select("x.*").where("u <> v").distinct()
-        stars = written(small, "stars")
-        now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen, n = now, now[0]
+    with planned_once(stars.sparkSession):
+        seen, n = None, stars.count()
+        for _ in range(rounds):
+            both = stars.select(F.explode(F.concat(pairs(F.col("u"), F.col("v")), pairs(F.col("v"), F.col("u")))).alias("x")).select("x.*")
+            least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("copies"))
+            large = met(both.where("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("copies"))
+            small = met(large, least, "u", n).select(F.explode(F.concat(pairs(F.col("v"), F.col("m")), pairs(F.col("u"), F.col("m")))).alias("x")).select("x.*").where("u <> v").distinct()
+            stars = written(small, "stars")
+            now = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+            if now == seen:
+                return stars.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            seen, n = now, now[0]
     raise RuntimeError(f"components did not settle in {rounds} rounds")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, fields
+from .common import Words, chunks, fields, give_back
 from .kn_rules import _SYMBOL
 
 #: The sample's texts and features are at most 2 * SAMPLE * MAX_SAMPLE_BYTES = 200 MB and about 1.5 times that on the driver.
@@ -172,7 +172,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     counts = np.array([len(a) for a in x])
     share = {k: sizes[k] / (label == k).sum() for k in (0, 1)}
     weight = np.where(label == 1, share[1], share[0])
-    return Attention.fit(np.concatenate(x), counts, label, weight / weight.mean(), prior)
+    model = Attention.fit(np.concatenate(x), counts, label, weight / weight.mean(), prior)
+    del found, x
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Attention, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -92,6 +92,15 @@ def test_components_of_a_long_chain(spark):
     assert found == {**{k: 0 for k in range(1, 301)}, 1001: 1000}
 
 
+def test_components_gather_no_threads_on_the_driver(spark):
+    threads = lambda: {t.getId() for t in spark._jvm.java.lang.Thread.getAllStackTraces().keySet() if t.getName().startswith("shuffle-exchange")}
+    edges = spark.range(40).selectExpr("id AS a", "id + 1 AS b")
+    before, adaptive = threads(), spark.conf.get("spark.sql.adaptive.enabled")
+    assert simhash_dedup.components(edges).select("component").distinct().count() == 1
+    assert len(threads() - before) < 8  # of the first step and of the count here
+    assert spark.conf.get("spark.sql.adaptive.enabled") == adaptive
+
+
 def test_keep_one(edge, empty):
     """One row of each group: neither copies, nor repeated rows, nor copies without an id stay beside it."""
     kept = simhash_dedup.keep_one(edge)
