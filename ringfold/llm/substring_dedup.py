@@ -108,17 +108,22 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH, digest: bool = False,
     sent, names = [pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()], ["part", "block", "hashes", "known", "least"]
 
     def judge(table):
-        h, ids, block = [], [], []
+        # Straight into arrays of the whole range, from the pieces as they came: a worker has room for each only once.
+        blobs = lambda c: (x.as_buffer() for x in table.column(c))
         of = table.column("block").to_pylist()
-        for k, (a, known, at) in enumerate(zip(*(table.column(c).to_pylist() for c in names[2:]), strict=True)):
-            h.append(unpack(a))
-            index = swelled(at, 4 * len(h[-1])).reshape(4, -1).T
-            ids.append(unpack(known).view(np.int64)[np.ascontiguousarray(index).view(np.uint32).ravel()])
-            block.append(np.full(len(h[-1]), k, np.int32))
-        h, ids, block = np.concatenate(h), np.concatenate(ids), np.concatenate(block)
+        sizes = [int.from_bytes(x[:8], "little") for x in blobs("hashes")]
+        h, ids, block = np.empty(sum(sizes), np.uint64), np.empty(sum(sizes), np.int64), np.repeat(np.arange(len(of), dtype=np.int32), sizes)
+        end = 0
+        for size, a, known, at in zip(sizes, *(blobs(c) for c in names[2:]), strict=True):
+            own = slice(end, end := end + size)
+            h[own] = unpack(a)
+            index = swelled(at, 4 * size).reshape(4, -1).T
+            ids[own] = unpack(known).view(np.int64)[np.ascontiguousarray(index).view(np.uint32).ravel()]
         order, starts, least = _runs(h, ids)
         n = np.diff(np.r_[starts, len(h)])
-        lost = order[ids[order] > np.repeat(least, n)]
+        beyond = ids[order]
+        beyond -= np.repeat(least, n)  # as bits, since it may pass the ends
+        lost = order[beyond != 0]
         lost = lost[np.lexsort((h[lost], block[lost]))]
         who, first = np.unique(block[lost], return_index=True)
         edges = [*first.tolist(), len(lost)]

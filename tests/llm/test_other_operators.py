@@ -303,3 +303,22 @@ def test_entry_without_this_package(tmp_path):
     assert run() == "True [] True"
     (tmp_path / "corpus_pipeline.py").unlink()
     assert run() == "True [] True"
+
+
+def test_pipeline_sends_small_batches(spark, sf):
+    """Each stage's rows go to Python in batches of some MB, which an executor can hold for every task."""
+    import pyarrow as pa
+
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = {x: spark.conf.get(x) for x in names}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    try:
+        for _, stage in corpus_pipeline.STAGES[2:]:
+            for x in names:
+                spark.conf.unset(x)
+            stage(spark, docs, sf)
+            sizes = [r["n"] for r in spark.range(5_000).coalesce(1).mapInArrow(lambda batches: (pa.record_batch([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()]
+            assert sum(sizes) == 5_000 and max(sizes) <= 1_000
+    finally:
+        for x, v in before.items():
+            spark.conf.set(x, v)
