@@ -23,7 +23,7 @@ from .common import Words, chunks, whole, windows, written
 ORDER, BITS, BEGIN, END = 4, 6, 0, 1
 #: Mean log10 probabilities are counted in bins of this width for the bands.
 BIN = 0.002
-#: SHORT: on sf0.1 the mean of a text of n words spreads about its language's median by 5 to 6 / sqrt(n) (good texts, by their quartiles).
+#: SHORT: on sf0.1 the mean of a text of n >= 50 words spreads about its language's median by 5 to 6 / sqrt(n) (good texts whose mean is under -2.2, by their quartiles; 8.9 for shorter texts).
 SPREADS, SHORT = 4.0, 5.0
 _SYMBOL = np.full(256, 41, dtype=np.int64)
 for _n, _chars in enumerate([" \t\r\x0b\x0c", "\n", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"], 2):
