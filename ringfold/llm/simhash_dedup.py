@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import shingle_join
 from .common import met, written
-from .components import components
+from .components import Forest, components
 
 SEED = 42
 ROWS_A_TASK = 200_000
@@ -82,35 +82,6 @@ def _on_top(fp: np.ndarray, blocks: list[tuple[int, int]], chosen: tuple[int, ..
     return out
 
 
-class Forest:
-    """Links between rows, reduced to one link a row again and again."""
-
-    def __init__(self, n: int):
-        self.root = np.arange(n)
-        self.kept: list[tuple[np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.kept.append((a, b))
-        self.size += len(a)
-        if self.size > 2_000_000:
-            self.reduce()
-
-    def reduce(self) -> np.ndarray:
-        if self.kept:
-            a, b = (np.concatenate(x) for x in zip(*self.kept, strict=True))
-            root = self.root
-            while len(a):
-                ra, rb = root[a], root[b]
-                apart = ra != rb
-                a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-                np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-                while (root != (up := root[root])).any():
-                    root = up
-            self.root, self.kept, self.size = root, [], 0
-        return self.root
-
-
 def trie_links(fp: np.ndarray, group: np.ndarray, side: np.ndarray, budget: int) -> np.ndarray:
     """For each row the first row of its component under links of at most `budget` bits within a group.
 

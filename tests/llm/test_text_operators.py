@@ -102,6 +102,22 @@ def test_components_gather_no_threads_on_the_driver(spark):
     assert spark.conf.get("spark.sql.adaptive.enabled") == adaptive
 
 
+@pytest.mark.parametrize("a_task", [1 << 20, 40])
+def test_components_of_links_in_one_task_or_many(spark, a_task):
+    """Few links take a plan or two on the driver; where they are in many tasks, stars join what the tasks have left apart."""
+    rng = random.Random(3)
+    pairs = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(260)] + [(k, k + 1) for k in range(1000, 1100)] + [(7, 7)]
+    smallest = {x: x for p in pairs for x in p}
+    for _ in smallest:
+        for a, b in pairs:
+            smallest[a] = smallest[b] = min(smallest[a], smallest[b])
+    jobs = lambda: {*spark.sparkContext.statusTracker().getJobIdsForGroup()}
+    before = jobs()
+    got = {r["node"]: r["component"] for r in simhash_dedup.components(spark.createDataFrame(pairs, "a long, b long").repartition(4), links_a_task=a_task).collect()}
+    assert got == {x: c for x, c in smallest.items() if x != c}
+    assert a_task == 40 or len(jobs() - before) < 9
+
+
 def test_keep_one(edge, empty):
     """One row of each group: neither copies, nor repeated rows, nor copies without an id stay beside it."""
     kept = simhash_dedup.keep_one(edge)
