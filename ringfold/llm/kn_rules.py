@@ -130,8 +130,9 @@ _SIZE = np.maximum(np.bincount(_SYMBOL, minlength=64), 1)
 def spelled(w: Words, model: KneserNey | None) -> np.ndarray:
     """The log10 probability of each text's bytes and its end, where the bytes of a symbol are alike."""
     grams, firsts = four_grams(w)
-    p = model.p(grams) if model else np.full(len(grams), 1.0 / (1 << BITS))
-    return np.add.reduceat(np.log10(p / _SIZE[grams & 63]), firsts)
+    grams, at = np.unique(grams.astype(np.int32), return_inverse=True)
+    p = model.p(grams.astype(np.int64)) if model else np.full(len(grams), 1.0 / (1 << BITS))
+    return np.add.reduceat(np.log10(p / _SIZE[grams & 63])[at], firsts)
 
 
 _COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams", "log10_p")

@@ -31,6 +31,8 @@ ORDER = 3
 BLOCK_WORDS, RANGE_KEYS = 1 << 20, 1_000_000
 #: The ranges are asked for in so many rounds, so that only a part of the n-grams is on disk at once.
 ROUNDS = 2
+#: The texts are scored in so many rounds of blocks, for the same reason.
+LAST_ROUNDS = 4
 _BEGIN, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: What is kept of an n-gram for each half: its count and, but for the longest, the sums of it as a context: counts, and n-grams counted once, twice and more often.
 _FIRST, _ROWS = 2, 10
@@ -59,9 +61,13 @@ def shuffles_dropped(spark: SparkSession):
 
 def _small(rows: list[np.ndarray]) -> bytes:
     """Counts, most of them small."""
-    v = np.stack(rows).astype(np.int64)
-    large = np.ascontiguousarray(v[v >= 255])
-    return len(large).to_bytes(8, "little") + large.tobytes() + squeezed(np.minimum(v, 255).astype(np.uint8))
+    narrow, large = np.empty((len(rows), len(rows[0])), np.uint8), []
+    for k, v in enumerate(rows):
+        np.minimum(v, 255, out=narrow[k], casting="unsafe")
+        if (at := np.flatnonzero(narrow[k] == 255)).size:
+            large.append(v[at].astype(np.int64))
+    large = np.concatenate(large) if large else np.zeros(0, np.int64)
+    return len(large).to_bytes(8, "little") + large.tobytes() + squeezed(narrow)
 
 
 def _counts(blob: bytes, rows: int, n: int) -> np.ndarray:
@@ -71,6 +77,23 @@ def _counts(blob: bytes, rows: int, n: int) -> np.ndarray:
     return v
 
 
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(keys, return_inverse=True) of hashes: their high bits are sorted with their places in the low ones."""
+    n = len(keys)
+    low = np.uint64((1 << n.bit_length()) - 1)
+    packed = (keys & ~low) | np.arange(n, dtype=np.uint64)
+    packed.sort()
+    order = (packed & low).astype(np.int64)
+    found = keys[order]
+    if (found[1:] < found[:-1]).any():  # two that are alike but for low bits
+        order = np.argsort(keys, kind="stable")
+        found = keys[order]
+    new = np.r_[True, found[1:] != found[:-1]][:n]
+    number = np.empty(n, np.int64)
+    number[order] = np.cumsum(new) - 1
+    return found[new], number
+
+
 class _Block:
     """The lines of a block's texts: ORDER - 1 times _BEGIN, the words, _END."""
 
@@ -83,7 +106,7 @@ class _Block:
         self.line = np.full(int(sizes.sum()), _BEGIN, np.uint64)
         self.word_at = np.arange(total) + np.repeat(self.starts + ORDER - 1 - first, n)
         self.number = number
-        self.line[self.word_at] = np.frombuffer(words, np.uint64)[number]
+        self.line[self.word_at] = unpack(words)[number]
         self.line[self.starts + sizes - 1] = _END
         self.half = np.repeat(half, sizes)
         self.real = np.ones(len(self.line), bool)
@@ -97,7 +120,7 @@ class _Block:
         if k < ORDER:  # contexts of a text's first word
             used[self.starts + ORDER - 2] = True
         used = np.flatnonzero(used)
-        keys, of = np.unique(windows(self.line, k)[used - (k - 1)], return_inverse=True)
+        keys, of = numbered(windows(self.line, k)[used - (k - 1)])
         at = np.full(len(self.line), -1, np.int32)
         at[used] = of
         return keys, at
@@ -123,8 +146,7 @@ class _Block:
             c = above[f][mine]
             t, c = place[mine[c > 0]], c[c > 0]
             rows.append(share(t[~self.begins(t, k)]) + share(raw[self.half[raw] == f]))
-            total = np.zeros(size, np.int64)
-            np.add.at(total, at[t - 1], c)
+            total = np.bincount(at[t - 1], c, minlength=size).astype(np.int64)
             contexts += [total, *(share(t[np.minimum(c, 3) == i] - 1) for i in (1, 2, 3))]
         return keys, rows + contexts
 
@@ -179,15 +201,16 @@ def _blocks(rows: DataFrame, names: tuple[str, ...], measures: Callable, spelled
         held: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            ids, lang, half, found, hashes, known, p = zip(*held, strict=True)
+            ids, lang, half, found, hashes, known, spellings = zip(*held, strict=True)
             held.clear()
             words, first = np.unique(np.concatenate(known), return_index=True)
             number = np.searchsorted(words, np.concatenate(hashes)).astype(np.uint32)
             found = [np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)]
-            end = spelled(Words(pa.array([""])))
+            each_once = pa.concat_arrays([*spellings, pa.array([""], pa.large_string())]).take(pa.array(np.r_[first, sum(map(len, known))]))  # and an end
+            p = np.concatenate([spelled(Words(part)) for _, part in chunks(each_once)])
             out = {
                 "block": [uuid.uuid4().int >> 65], "places": [len(number) + len(found[0])], "ids": [pa.concat_arrays(ids)], "langs": [pa.concat_arrays(lang)], "found": [np.stack(found).tobytes()], "counts": [found[0].tobytes()], "halves": [np.concatenate(half).tobytes()],
-                "words": [words.tobytes()], "tokens": [squeezed(number.view(np.uint8).reshape(-1, 4).T)], "spelled": [np.r_[np.concatenate(p)[first], end].astype(np.float32).tobytes()],
+                "words": [pack(words)], "tokens": [squeezed(number.view(np.uint8).reshape(-1, 4).T)], "spelled": [p.astype(np.float32).tobytes()],
             }
             types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), *[pa.binary()] * 6]
             return pa.record_batch([pa.array([v[0].to_pylist()] if k in ("ids", "langs") else v, t) for (k, v), t in zip(out.items(), types, strict=True)], list(out))
@@ -201,9 +224,8 @@ def _blocks(rows: DataFrame, names: tuple[str, ...], measures: Callable, spelled
                 edges = np.r_[0, np.cumsum(sizes)]
                 data = w.data[np.arange(edges[-1]) + np.repeat(w.starts[at] - edges[:-1], sizes)]
                 own = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-                p = spelled(Words(own)) if len(at) else np.zeros(0)
                 cut = lambda k: b.column(k).slice(start, len(part))  # noqa: B023, E731
-                held.append((cut(0), cut(1), halves(w, h), measures(w, part), h, known, p))
+                held.append((cut(0), cut(1), halves(w, h), measures(w, part), h, known, own))
                 if sum(len(x[4]) for x in held) >= enough:
                     yield flush()
         if held:
@@ -288,7 +310,7 @@ def scored(rows: DataFrame, names: tuple[str, ...], measures: Callable, spelled:
     """
     with shuffles_dropped(rows.sparkSession):
         blocks = written(_blocks(rows, names, measures, spelled), "blocks")
-        size = blocks.agg(F.sum("places").alias("places"), F.sum(F.octet_length("words") / 8).alias("words")).first()
+        size = blocks.agg(F.sum("places").alias("places"), F.sum(F.octet_length("spelled") / 4).alias("words")).first()
         if size["places"] is None:
             return written(rows.sparkSession.createDataFrame([], _ddl(names)), "measures")
         told, stats = [], {}
@@ -314,7 +336,11 @@ def scored(rows: DataFrame, names: tuple[str, ...], measures: Callable, spelled:
             return pa.concat_tables(out)
 
         answers = reduce(DataFrame.unionByName, [x for level in told for x in level])
-        return written(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(each, _ddl(names)), "measures")
+        out = []
+        for r in range(LAST_ROUNDS):
+            mine, told = (x.where(F.pmod("block", F.lit(LAST_ROUNDS)) == r) for x in (blocks, answers))
+            out.append(written(mine.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(each, _ddl(names)), "measures"))
+        return reduce(DataFrame.unionByName, out)
 
 
 def _ddl(names: tuple[str, ...]) -> str:

@@ -735,3 +735,16 @@ def test_halves_of_chunks():
     w = Words(pa.array(texts, pa.string()))
     alone = [int(word_kn.halves(x := Words(pa.array([t], pa.string())), x.hashes())[0]) for t in texts]
     assert word_kn.halves(w, w.hashes()).tolist() == alone and alone[0] == alone[1]
+
+
+def test_blocks_of_word_kn_are_packed(spark):
+    """Numbers of hashes are those of np.unique, also if hashes differ in low bits only; counts come back; a dictionary takes under 8 bytes a word."""
+    rng = np.random.default_rng(2)
+    for keys in (rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.integers(0, 40, 3000, dtype=np.uint64), np.array([5 << 40, (5 << 40) + 1, 5 << 40, (5 << 40) + 1, 7], np.uint64), np.zeros(0, np.uint64)):
+        for got, wanted in zip(word_kn.numbered(keys), np.unique(keys, return_inverse=True), strict=True):
+            assert got.tolist() == wanted.tolist()
+    counts = [np.array([0, 254, 255, 256, 10**12]), np.array([255, 1, 0, 70_000, 3])]
+    assert word_kn._counts(word_kn._small(counts), 2, 5).tolist() == np.stack(counts).tolist()
+    frame = spark.createDataFrame([(1, "en", " ".join(f"w{k}" for k in range(30_000)))], "id long, lang string, text string")
+    row = word_kn._blocks(frame, kn_rules._COLUMNS[:5], kn_rules.measures, lambda w: kn_rules.spelled(w, None)).first()
+    assert len(row["spelled"]) == 4 * 30_001 and len(row["words"]) < 7.2 * 30_000
