@@ -58,16 +58,12 @@ def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(gram int, n long) over all texts; null counts as empty."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        n = np.zeros(1 << BITS * ORDER, np.int64)
         for b in batches:
             for _, part in chunks(b.column(0)):
-                keys = np.sort(four_grams(Words(part))[0].astype(np.int32))
-                starts = np.flatnonzero(np.diff(keys, prepend=-1))
-                grams = np.r_[grams, keys[starts]]
-                n = np.r_[n, np.diff(np.r_[starts, len(keys)])]
-                order = np.argsort(grams, kind="stable")
-                starts = np.flatnonzero(np.diff(grams[order], prepend=-1))
-                grams, n = grams[order][starts], np.add.reduceat(n[order], starts)
+                np.add.at(n, four_grams(Words(part))[0], 1)
+        grams = np.flatnonzero(n)
+        n = n[grams]
         yield pa.record_batch([pa.array(grams.astype(np.int32)), pa.array(n)], ["gram", "n"])
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(each, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
@@ -81,6 +77,7 @@ class KneserNey:
     probabilities: list[np.ndarray]
     contexts: list[np.ndarray]
     weights: list[np.ndarray]
+    size: int = 0  # of all texts, in bytes and ends
 
     @classmethod
     def of(cls, gram: np.ndarray, n: np.ndarray) -> KneserNey:
@@ -89,7 +86,7 @@ class KneserNey:
         for k in range(ORDER - 1, 0, -1):  # lower orders count the symbols that may precede
             g, c = np.unique(grams[0] & ((1 << BITS * k) - 1), return_counts=True)
             grams, counts = [g, *grams], [c, *counts]
-        model = cls(grams, [], [], [])
+        model = cls(grams, [], [], [], int(n.sum()))
         for k in range(ORDER):
             g, c = grams[k], counts[k]
             off = word_kn.discounts([int((c == i).sum()) for i in range(1, 5)])[np.minimum(c, 3)]
@@ -145,9 +142,8 @@ def measures(w: Words, texts: pa.Array) -> list[np.ndarray]:
     h = windows(w.hashes(), 8, base=0xE7037ED1A0B428DB)
     good = np.flatnonzero(whole(w.first, w.counts, 8, len(h)))
     key = h[good] ^ (w.rows()[good].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    order = np.argsort(key)
-    same = np.r_[False, key[order][1:] == key[order][:-1]][: len(key)]
-    twice = good[order[same | np.r_[same[1:], False]]]
+    number = word_kn.numbered(key)[1]
+    twice = good[np.bincount(number)[number] > 1]
     cover = np.zeros(len(w.starts) + 1, np.int32)
     np.add.at(cover, twice, 1)
     np.add.at(cover, twice + 8, -1)
@@ -170,7 +166,7 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     model = train(docs, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    found = word_kn.scored(rows, _COLUMNS[:5], measures, lambda w: spelled(w, model))
+    found = word_kn.scored(rows, _COLUMNS[:5], measures, lambda w: spelled(w, model), model.size // 6 if model else 0)
     mean = F.col("log10_p") / F.col("n_grams")
     bins = found.groupBy("lang", F.floor(mean / BIN).alias("bin")).count()
     up = Window.partitionBy("lang").orderBy("bin")

@@ -3,13 +3,16 @@
 The texts are dealt to two halves by the least hash of their four-word windows, so that no text, nor a copy of it, is judged
 by what was counted in it, and most near copies aren't either. Each model is of all texts of its half. Each is interpolated down to a spelling of the word, so no word is impossible.
 
-Texts become blocks: a dictionary of word hashes and the numbers of the words in it, written once. For each order, from the
-longest down, a block sends the sorted 64-bit hashes of its n-grams with what it has counted for them, packed by ranges of the
-hash. What holds a range adds up, answers each block in the block's own order, and names one of the blocks the owner of the
-n-gram. Only the owner counts it once more for the shorter orders: as one more word before its last words, and in the sums of
-its context. So each n-gram of a block is one number in one range, however frequent it or its words are.
-
-Hashes are not compared by word: n distinct n-grams have a chance of about n / 2**64 each to be taken for another.
+Texts become blocks of one half: a dictionary of word hashes and the numbers of the words in it, written once, in a table
+that is bucketed by block, so that answers come to the blocks. For each order, from the longest down, a block sends the sorted
+hashes of its n-grams with what it has counted for them, packed by ranges of the hash. What holds a range adds up for each
+half, answers each block in the block's own order with the sums of the other half, and names one block of each half the owner
+of the n-gram there, with its count. Only the owner counts it once more for the shorter orders: as one more word before its
+last words, and in the sums of its context. So each n-gram of a block is one number in one range, however frequent it or its
+words are. What only the counting takes is deleted when its order is done.
+
+Hashes are not compared by word: n distinct n-grams have a chance of about n / 2**b each to be taken for another, where b is
+EXTRA_BITS more than the bits of the number of all places (64 at most), n distinct words one of n / 2**48.
 """
 
 from __future__ import annotations
@@ -24,18 +27,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mix, whole, windows, written
+from .common import Words, chunks, mix, removed, whole, windows, workspace, written
 from .substring_dedup import pack, squeezed, swelled, unpack
 
 ORDER = 3
-BLOCK_WORDS, RANGE_KEYS = 1 << 20, 1_000_000
-#: The ranges are asked for in so many rounds, so that only a part of the n-grams is on disk at once.
-ROUNDS = 2
+BLOCK_WORDS, RANGE_KEYS = 3 << 19, 1_000_000
+#: The ranges of an order are asked for in so many rounds, so that only a part of the n-grams is on disk at once.
+ROUNDS = {3: 2, 2: 4, 1: 2}
 #: The texts are scored in so many rounds of blocks, for the same reason.
 LAST_ROUNDS = 4
 _BEGIN, _END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
-#: What is kept of an n-gram for each half: its count and, but for the longest, the sums of it as a context: counts, and n-grams counted once, twice and more often.
-_FIRST, _ROWS = 2, 10
+#: Of an n-gram's hash as many bits are kept as the number of all places has, and EXTRA_BITS more. Of a word's hash 48 are kept.
+EXTRA_BITS, _WORD_DROP = 24, np.uint64(16)
+#: What is asked of an n-gram: its count and, but for the longest, the sums of it as a context: counts, counts over 1, and n-grams counted twice and more often.
+_FIRST, _ROWS = 1, 5
+_OTHER, _OWN, _STATS = 0, 1, 2
 
 
 def discounts(n: list[int]) -> np.ndarray:
@@ -77,105 +83,138 @@ def _counts(blob: bytes, rows: int, n: int) -> np.ndarray:
     return v
 
 
-def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """np.unique(keys, return_inverse=True) of hashes: their high bits are sorted with their places in the low ones."""
-    n = len(keys)
-    low = np.uint64((1 << n.bit_length()) - 1)
-    packed = (keys & ~low) | np.arange(n, dtype=np.uint64)
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes sorted and their places: their high bits are sorted with their places in the low ones."""
+    low = np.uint64((1 << len(keys).bit_length()) - 1)
+    packed = (keys & ~low) | np.arange(len(keys), dtype=np.uint64)
     packed.sort()
     order = (packed & low).astype(np.int64)
     found = keys[order]
     if (found[1:] < found[:-1]).any():  # two that are alike but for low bits
         order = np.argsort(keys, kind="stable")
         found = keys[order]
-    new = np.r_[True, found[1:] != found[:-1]][:n]
-    number = np.empty(n, np.int64)
+    return found, order
+
+
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(keys, return_inverse=True) of hashes."""
+    found, order = _sorted(keys)
+    new = np.r_[True, found[1:] != found[:-1]][: len(keys)]
+    number = np.empty(len(keys), np.int64)
     number[order] = np.cumsum(new) - 1
     return found[new], number
 
 
+def firsts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.unique(keys, return_index=True) of hashes."""
+    found, order = _sorted(keys)
+    new = np.r_[True, found[1:] != found[:-1]][: len(keys)]
+    return found[new], order[new]
+
+
 class _Block:
-    """The lines of a block's texts: ORDER - 1 times _BEGIN, the words, _END."""
+    """The lines of a block's texts, all of one half: ORDER - 1 times _BEGIN, the words, _END. bits: how many of an n-gram's hash are kept."""
 
-    def __init__(self, counts: bytes, halves: bytes, words: bytes, tokens: bytes):
-        n, half = np.frombuffer(counts, np.int64), np.frombuffer(halves, np.uint8)
+    def __init__(self, counts: bytes, words: bytes, tokens: bytes, bits: int):
+        n = np.frombuffer(counts, np.int64)
         total = int(n.sum())
         number = np.ascontiguousarray(swelled(tokens, 4 * total).reshape(4, total).T).view(np.uint32).ravel()
         sizes = n + ORDER
         self.starts, first = np.cumsum(sizes) - sizes, np.cumsum(n) - n
-        self.line = np.full(int(sizes.sum()), _BEGIN, np.uint64)
+        self.words = np.r_[unpack(words) << _WORD_DROP, _END, _BEGIN]
         self.word_at = np.arange(total) + np.repeat(self.starts + ORDER - 1 - first, n)
-        self.number = number
-        self.line[self.word_at] = unpack(words)[number]
-        self.line[self.starts + sizes - 1] = _END
-        self.half = np.repeat(half, sizes)
+        self.number = np.full(int(sizes.sum()), len(self.words) - 1)
+        self.number[self.word_at] = number
+        self.number[self.starts + sizes - 1] = len(self.words) - 2
+        self.line = self.words[self.number]
         self.real = np.ones(len(self.line), bool)
         for k in range(ORDER - 1):
             self.real[self.starts + k] = False
-        self.n = n
+        self.n, self.drop = n, np.uint64(64 - bits)
+
+    def grams(self, k: int, least: int = 0, below: int = 1 << 64) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted hashes of the n-grams of order k from least on and under below, and for each place the number of the one that ends there, else -1."""
+        if k == 1:  # those of the dictionary
+            keys, of = numbered(windows(self.words, 1) >> self.drop << self.drop)
+            edges = [int(np.searchsorted(keys, np.uint64(x))) if x < 1 << 64 else len(keys) for x in (least, below)]
+            of = np.where((of >= edges[0]) & (of < edges[1]), of - edges[0], -1).astype(np.int32)
+            at = of[self.number]
+            at[~self._used(1)] = -1
+            return keys[edges[0] : edges[1]], at
+        keys, used = self._keys(k)
+        if least > 0 or below < 1 << 64:
+            mine = np.flatnonzero((keys >= np.uint64(least)) & (keys <= np.uint64(below - 1)))
+            keys, used = keys[mine], used[mine]
+        keys, of = numbered(keys)
+        at = np.full(len(self.line), -1, np.int32)
+        at[used] = of
+        return keys, at
 
-    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The sorted hashes of the n-grams of order k, and for each place the number of the one that ends there, else -1."""
+    def _used(self, k: int) -> np.ndarray:
         used = self.real.copy()
         if k < ORDER:  # contexts of a text's first word
             used[self.starts + ORDER - 2] = True
-        used = np.flatnonzero(used)
-        keys, of = numbered(windows(self.line, k)[used - (k - 1)])
-        at = np.full(len(self.line), -1, np.int32)
-        at[used] = of
-        return keys, at
+        return used
+
+    def _keys(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        used = np.flatnonzero(self._used(k))
+        return windows(self.line, k)[used - (k - 1)] >> self.drop << self.drop, used
 
     def begins(self, places: np.ndarray, k: int) -> np.ndarray:
         return self.line[places - (k - 1)] == _BEGIN
 
-    def asked(self, k: int, above: np.ndarray | None) -> tuple[np.ndarray, list[np.ndarray]]:
-        """The hashes of order k and this block's share of their counts. above: the answers on order k + 1."""
-        keys, at = self.grams(k)
-        size = len(keys)
-        share = lambda places: np.bincount(at[places], minlength=size)
+    def asked(self, k: int, above: np.ndarray | None, least: int = 0, below: int = 1 << 64) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The hashes of order k in an interval and this block's share of their counts. above: the answers on order k + 1."""
+        keys, at = self.grams(k, least, below)
+        size = len(keys) + 1  # the first for places outside
+        at += 1
+        share = lambda places: np.bincount(at[places], minlength=size)[1:]
         real = np.flatnonzero(self.real)
         if above is None:
-            return keys, [share(real[self.half[real] == f]) for f in (0, 1)]
-        longer = self.grams(k + 1)[1]
-        place = np.full(above.shape[1], -1)
-        place[longer[real]] = real
-        mine = np.flatnonzero((above[-1] > 0) & (place >= 0))
+            return keys, [share(real)]
+        longer, used = self._keys(k + 1)
+        place = used[firsts(longer)[1]]
+        mine = np.flatnonzero(above[-1] > 0)
         raw = real[self.begins(real, k)]  # nothing stands before these, so their own counts count
-        rows, contexts = [], []
-        for f in (0, 1):
-            c = above[f][mine]
-            t, c = place[mine[c > 0]], c[c > 0]
-            rows.append(share(t[~self.begins(t, k)]) + share(raw[self.half[raw] == f]))
-            total = np.bincount(at[t - 1], c, minlength=size).astype(np.int64)
-            contexts += [total, *(share(t[np.minimum(c, 3) == i] - 1) for i in (1, 2, 3))]
-        return keys, rows + contexts
+        c, t = above[-1][mine], place[mine]
+        total = np.bincount(at[t - 1], c, minlength=size)[1:].astype(np.int64)
+        small = np.minimum(c, 3)
+        ones, twos, more = (share(t[small == i] - 1) for i in (1, 2, 3))
+        return keys, [share(t[~self.begins(t, k)]) + share(raw), total, total - ones, twos, more]
 
     def log10_p(self, answers: dict[int, np.ndarray], stats: dict[int, np.ndarray], spelled: np.ndarray) -> np.ndarray:
-        """Of each text. spelled: of each word of the dictionary and, last, of an end."""
+        """Of each text. stats: of the other half. spelled: of each word of the dictionary and, last, of an end."""
         real = np.flatnonzero(self.real)
-        other = 1 - self.half[real].astype(np.int64)
-        p = np.full(len(self.line), spelled[-1])
-        p[self.word_at] = spelled[self.number]
-        p = p[real]
+        word = self.number[real]
+        p = (10.0**spelled)[word]
+        least = np.flatnonzero((spelled < -250)[word])  # of very long words, which a double holds as a logarithm only
+        log_p = spelled[word[least]]
         for k in range(1, ORDER + 1):
             at = self.grams(k)[1]
-            c = answers[k][other, at[real]]
+            c = answers[k][0][at[real]]
+            off = discounts(list(stats[k][:4]))
             if k == 1:
-                total, ones, twos, more = (np.array([s[i] for s in stats[1]])[other] for i in (4, 0, 1, 6))
+                total, ones, twos, more = (np.full(1, stats[1][i]) for i in (4, 0, 1, 6))
+                of = np.zeros(len(real), np.int64)
             else:
+                total, ones, twos, more = answers[k - 1][1:5]
+                ones = total - ones
                 of = shorter[real - 1]
-                total, ones, twos, more = (answers[k - 1][2 + 4 * other + i, of] for i in range(4))
-            shorter = at
-            off = np.array([discounts(list(s[:4])) for s in stats[k]])
             some = np.maximum(total, 1)
-            weight = np.where(total > 0, (off[other, 1] * ones + off[other, 2] * twos + off[other, 3] * more) / some, 1.0)
-            own = np.where(c > 0, (c - off[other, np.minimum(c, 3)]) / some, 0.0)
+            weight = np.where(total > 0, (off[1] * ones + off[2] * twos + off[3] * more) / some, 1.0)[of]
+            own = (c - off[np.minimum(c, 3)]) / some[of]
+            p = own + weight * p
+            own, weight = own[least], weight[least]
             with np.errstate(divide="ignore"):
-                p = np.where(own > 0, np.log10(own + weight * 10.0**p), np.log10(weight) + p)
+                log_p = np.where(own > 0, np.log10(own + weight * 10.0**log_p), np.log10(weight) + log_p)
+            shorter = at
+        with np.errstate(divide="ignore"):
+            p = np.log10(p)
+        p[least] = log_p
         return np.add.reduceat(p, np.cumsum(self.n + 1) - (self.n + 1))
 
 
-_PACKED = ("counts", "halves", "words", "tokens")
+_PACKED = ("counts", "words", "tokens")
 
 
 def halves(w: Words, h: np.ndarray) -> np.ndarray:
@@ -194,152 +233,194 @@ def halves(w: Words, h: np.ndarray) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, names: tuple[str, ...], measures: Callable, spelled: Callable) -> DataFrame:
-    """Blocks of whole texts of about BLOCK_WORDS words."""
+    """Blocks of whole texts of one half, of about BLOCK_WORDS words. The more frequent words come first in a block's dictionary."""
     enough = BLOCK_WORDS
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            ids, lang, half, found, hashes, known, spellings = zip(*held, strict=True)
-            held.clear()
-            words, first = np.unique(np.concatenate(known), return_index=True)
-            number = np.searchsorted(words, np.concatenate(hashes)).astype(np.uint32)
+        held: tuple[list[tuple], list[tuple]] = ([], [])
+
+        def flush(half: int) -> pa.RecordBatch:
+            ids, lang, found, hashes, known, spellings = zip(*held[half], strict=True)
+            held[half].clear()
+            words, number = numbered(np.concatenate(hashes))
+            often = np.frexp(np.bincount(number, minlength=len(words)).astype(float))[1]
+            order = np.lexsort((words, -often))
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            number = place[number]
+            first = firsts(np.concatenate(known))[1][order]
             found = [np.concatenate(x).astype(np.int64) for x in zip(*found, strict=True)]
             each_once = pa.concat_arrays([*spellings, pa.array([""], pa.large_string())]).take(pa.array(np.r_[first, sum(map(len, known))]))  # and an end
             p = np.concatenate([spelled(Words(part)) for _, part in chunks(each_once)])
             out = {
-                "block": [uuid.uuid4().int >> 65], "places": [len(number) + len(found[0])], "ids": [pa.concat_arrays(ids)], "langs": [pa.concat_arrays(lang)], "found": [np.stack(found).tobytes()], "counts": [found[0].tobytes()], "halves": [np.concatenate(half).tobytes()],
-                "words": [pack(words)], "tokens": [squeezed(number.view(np.uint8).reshape(-1, 4).T)], "spelled": [p.astype(np.float32).tobytes()],
+                "block": [uuid.uuid4().int >> 65], "half": [half], "places": [len(number) + len(found[0])], "ids": [pa.concat_arrays(ids)], "langs": [pa.concat_arrays(lang)], "found": [squeezed(np.stack(found))], "counts": [found[0].tobytes()],
+                "words": [pack(words[order] >> _WORD_DROP)], "tokens": [squeezed(number.view(np.uint8).reshape(-1, 4).T)], "spelled": [p.astype(np.float32).tobytes()],
             }
-            types = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), *[pa.binary()] * 6]
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), *[pa.binary()] * 5]
             return pa.record_batch([pa.array([v[0].to_pylist()] if k in ("ids", "langs") else v, t) for (k, v), t in zip(out.items(), types, strict=True)], list(out))
 
         for b in batches:
             for start, part in chunks(b.column(2)):
                 w = Words(part)
                 h = w.hashes()
-                known, at = np.unique(h, return_index=True)
-                sizes = (w.ends - w.starts)[at]
-                edges = np.r_[0, np.cumsum(sizes)]
-                data = w.data[np.arange(edges[-1]) + np.repeat(w.starts[at] - edges[:-1], sizes)]
-                own = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-                cut = lambda k: b.column(k).slice(start, len(part))  # noqa: B023, E731
-                held.append((cut(0), cut(1), halves(w, h), measures(w, part), h, known, own))
-                if sum(len(x[4]) for x in held) >= enough:
-                    yield flush()
-        if held:
-            yield flush()
-
-    return rows.select("id", "lang", "text").mapInArrow(each, "block long, places long, ids array<long>, langs array<string>, found binary, counts binary, halves binary, words binary, tokens binary, spelled binary")
-
+                half, found = halves(w, h), measures(w, part)
+                h = h >> _WORD_DROP << _WORD_DROP
+                of = np.repeat(half, w.counts)
+                for f in np.unique(half).tolist():
+                    texts, mine = np.flatnonzero(half == f), np.flatnonzero(of == f)
+                    known, at = firsts(h[mine])
+                    at = mine[at]
+                    sizes = (w.ends - w.starts)[at]
+                    edges = np.r_[0, np.cumsum(sizes)]
+                    data = w.data[np.arange(edges[-1]) + np.repeat(w.starts[at] - edges[:-1], sizes)]
+                    own = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+                    cut = lambda k: b.column(k).slice(start, len(part)).take(pa.array(texts))  # noqa: B023, E731
+                    held[f].append((cut(0), cut(1), [x[texts] for x in found], h[mine], known, own))
+                    if sum(len(x[3]) for x in held[f]) >= enough:
+                        yield flush(f)
+        for f in (0, 1):
+            if held[f]:
+                yield flush(f)
 
-def _answer(told: pa.Table, k: int) -> np.ndarray | None:
-    """A block's answers on order k in the order of its hashes; the last row is 1 where the block is the owner."""
-    rows = (_FIRST if k == ORDER else _ROWS) + 1
-    found = sorted((r["part"], r["n"], r["blob"]) for r in told.to_pylist() if r["k"] == k)
-    return np.concatenate([_counts(blob, rows, n) for _, n, blob in found], axis=1) if found else np.zeros((rows, 0), np.int64)
+    return rows.select("id", "lang", "text").mapInArrow(each, "block long, half int, places long, ids array<long>, langs array<string>, found binary, counts binary, words binary, tokens binary, spelled binary")
 
 
-def _edges(keys: np.ndarray, ranges: int) -> list[int]:
-    return [*np.searchsorted(keys, np.array([(k << 64) // ranges for k in range(ranges)], np.uint64)).tolist(), len(keys)]
+def _answer(told: pa.Table, k: int, rows: int) -> np.ndarray:
+    """A block's answers on order k in the order of its hashes."""
+    told = told.filter(pa.compute.equal(told.column("k"), k)).sort_by("part")
+    found = [_counts(r["blob"], rows, r["n"]) for r in told.to_pylist()]
+    return np.concatenate(found, axis=1) if found else np.zeros((rows, 0), np.int64)
 
 
-def _ask(blocks: DataFrame, above: DataFrame | None, k: int, ranges: int, rounds: range) -> DataFrame:
-    """(part, block, n, hashes, blob): what the blocks have of order k in some of the ranges."""
-    names, types = ["part", "block", "n", "hashes", "blob"], [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    ddl = "part int, block long, n long, hashes binary, blob binary"
+def _ask(blocks: DataFrame, above: DataFrame | None, k: int, ranges: int, rounds: range, bits: int) -> DataFrame:
+    """(part, block, half, n, hashes, blob): what the blocks have of order k in some of the ranges; part counts from the first of them."""
+    names, types = ["part", "block", "half", "n", "hashes", "blob"], [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+    ddl = "part int, block long, half int, n long, hashes binary, blob binary"
+    bounds = [-(-(r << 64) // ranges) for r in range(rounds.start, rounds.stop + 1)]
+    drop = np.uint64(64 - bits)
 
-    def of(block, row, found):
-        keys, rows = _Block(*row).asked(k, found)
-        edges, rows = _edges(keys, ranges), np.stack(rows)
-        for part in rounds:
+    def of(block, half, row, found):
+        keys, rows = _Block(*row, bits).asked(k, found, bounds[0], bounds[-1])
+        edges, rows = [0, *np.searchsorted(keys, np.array(bounds[1:-1], np.uint64)).tolist(), len(keys)], np.stack(rows)
+        keys = keys >> drop
+        for part in range(len(rounds)):
             if (a := edges[part]) < (b := edges[part + 1]):
-                yield part, block, b - a, pack(keys[a:b]), _small(list(rows[:, a:b]))
+                yield part, block, half, b - a, pack(keys[a:b]), _small(list(rows[:, a:b]))
 
     def table(out):
-        return [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)]
+        return [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)]
 
     def each(batches):
         for b in batches:
-            for block, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                yield pa.record_batch(table(list(of(block, row, None))), names)
+            for block, half, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                yield pa.record_batch(table(list(of(block, half, row, None))), names)
 
     def met(mine, told):
-        out = [x for r in mine.to_pylist() for x in of(r["block"], [r[c] for c in _PACKED], _answer(told, k + 1))]
+        out = [x for r in mine.to_pylist() for x in of(r["block"], r["half"], [r[c] for c in _PACKED], _answer(told, k + 1, 1))]
         return pa.Table.from_arrays(table(out), names)
 
-    own = blocks.select("block", *_PACKED)
+    own = blocks.select("block", "half", *_PACKED)
     return own.mapInArrow(each, ddl) if above is None else own.groupBy("block").cogroup(above.groupBy("block")).applyInArrow(met, ddl)
 
 
-def _hold(asked: DataFrame, k: int, ranges: int) -> DataFrame:
-    """(block, k, part, n, blob): the answers; where block is -1, what discounts need of the range."""
+def _hold(asked: DataFrame, k: int, ranges: int, rounds: range, bits: int) -> DataFrame:
+    """(kind, block, k, part, n, blob): what blocks asked for, of the other half; a block's counts in its own half where it is the owner, else 0; what discounts need of the range."""
     rows = _FIRST if k == ORDER else _ROWS
-    names, types = ["block", "k", "part", "n", "blob"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    names, types = ["kind", "block", "k", "part", "n", "blob"], [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+    drop = np.uint64(64 - bits)
 
     def hold(table):
-        table = table.sort_by("block")
-        block, n = table.column("block").to_pylist(), table.column("n").to_pylist()
-        part = table.column("part")[0].as_py()
-        keys = np.concatenate([unpack(x.as_py()) for x in table.column("hashes")])
+        table = table.sort_by([("half", "ascending"), ("block", "ascending")])
+        block, half, n = (table.column(c).to_pylist() for c in ("block", "half", "n"))
+        part = table.column("part")[0].as_py() + rounds.start
+        keys = np.concatenate([unpack(x.as_py()) for x in table.column("hashes")]) << drop
         values = np.concatenate([_counts(x.as_py(), rows, m) for x, m in zip(table.column("blob"), n, strict=True)], axis=1)
-        order = np.argsort(keys, kind="stable")
-        starts = np.flatnonzero(np.r_[True, np.diff(keys[order]) != 0])
-        times = np.diff(np.r_[starts, len(keys)])
-        out, stats = np.zeros((rows + 1, len(keys)), np.int64), []
-        for r in range(rows):
-            sums = np.add.reduceat(values[r][order], starts)
-            out[r, order] = np.repeat(sums, times)
-            if r < 2:
-                stats.append([*((sums == i).sum() for i in range(1, 5)), sums.sum(), (sums > 0).sum(), (sums > 2).sum()])
-        out[-1, order[starts]] = 1
+        keys -= np.uint64((part << 64) // ranges)
+        found, number = numbered(keys << np.uint64(ranges.bit_length() - 1))  # spread over all 64 bits
+        edge = sum(m for f, m in zip(half, n, strict=True) if f == 0)
+        of = (slice(0, edge), slice(edge, len(keys)))
+        sums = [[np.bincount(number[x], values[r, x], minlength=len(found)).astype(np.int64) for r in range(rows)] for x in of]
+        stats = [[*((s[0] == i).sum() for i in range(1, 5)), s[0].sum(), (s[0] > 0).sum(), (s[0] > 2).sum()] for s in sums]
+        out, mine = np.zeros((rows, len(keys)), np.int64), np.zeros(len(keys), np.int64)
+        for f, x in enumerate(of):
+            for r in range(rows):
+                out[r, x] = sums[1 - f][r][number[x]]
+            owner = np.full(len(found), -1)
+            owner[number[x][::-1]] = np.arange(x.start, x.stop)[::-1]
+            here = np.flatnonzero(owner >= 0)
+            mine[owner[here]] = sums[f][0][here]
         edges = np.r_[0, np.cumsum(n)].tolist()
-        found = [(b, k, part, m, _small(list(out[:, a : a + m]))) for b, m, a in zip(block, n, edges, strict=False)]
-        found.append((-1, k, part, 0, np.array(stats, np.int64).tobytes()))
-        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names)
+        told = [(_OTHER, b, k, part, m, _small(list(out[:, a : a + m]))) for b, m, a in zip(block, n, edges, strict=False)]
+        if k > 1:
+            told += [(_OWN, b, k, part, m, _small([mine[a : a + m]])) for b, m, a in zip(block, n, edges, strict=False)]
+        told.append((_STATS, -1, k, part, 0, np.array(stats, np.int64).tobytes()))
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*told, strict=True), types, strict=True)], names)
+
+    return asked.repartitionById(len(rounds), "part").groupBy("part").applyInArrow(hold, "kind int, block long, k int, part int, n long, blob binary")
+
 
-    return asked.repartitionById(ranges, "part").groupBy("part").applyInArrow(hold, "block long, k int, part int, n long, blob binary")
+@contextlib.contextmanager
+def _bucketed(df: DataFrame, buckets: int):
+    """The same rows, read from a table in the shared folder that is dealt by block, so that answers come to the blocks and these stay where they are. It goes at the end."""
+    spark, path, name = df.sparkSession, workspace(df.sparkSession, "blocks"), f"blocks_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, "block").format("parquet").option("path", path).saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE {name}")
+        removed(spark, path)
 
 
-def scored(rows: DataFrame, names: tuple[str, ...], measures: Callable, spelled: Callable) -> DataFrame:
+def scored(rows: DataFrame, names: tuple[str, ...], measures: Callable, spelled: Callable, size: int = 0) -> DataFrame:
     """One row for each of rows (id, lang, text): id, lang, the measures (names; the first is the number of words), n_grams, log10_p.
 
     measures(words, texts) and spelled(words) work on a chunk of texts, the second also on words as texts. A null text is
-    empty. Where the other half has no texts, as in a table of one text, all words are spelled.
+    empty. Where the other half has no texts, as in a table of one text, all words are spelled. size: about how many words
+    there are; only tasks become larger where it is too small.
     """
-    with shuffles_dropped(rows.sparkSession):
-        blocks = written(_blocks(rows, names, measures, spelled), "blocks")
+    spark = rows.sparkSession
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BLOCK_WORDS + 1)
+    with shuffles_dropped(spark), _bucketed(_blocks(rows, names, measures, spelled), buckets) as blocks:
         size = blocks.agg(F.sum("places").alias("places"), F.sum(F.octet_length("spelled") / 4).alias("words")).first()
         if size["places"] is None:
-            return written(rows.sparkSession.createDataFrame([], _ddl(names)), "measures")
-        told, stats = [], {}
+            return written(spark.createDataFrame([], _ddl(names)), "measures")
+        bits = min(64, int(size["places"]).bit_length() + EXTRA_BITS)
+        told, owned, stats, paths = [], [], {}, []
         for k in range(ORDER, 0, -1):
-            above = reduce(DataFrame.unionByName, told[-1]) if told else None
-            told.append([])
+            above = reduce(DataFrame.unionByName, owned) if owned else None
+            used, owned = paths[-len(owned) :], []
             entries = size["places"] if k > 1 else size["words"]
             ranges = int(entries / RANGE_KEYS) + 1
-            for r in range(min(ROUNDS, ranges)):
-                mine = range(r * ranges // min(ROUNDS, ranges), (r + 1) * ranges // min(ROUNDS, ranges))
-                found = written(_hold(_ask(blocks, above, k, ranges, mine), k, ranges), f"order-{k}")
-                told[-1].append(found.where("block >= 0"))
-                for x in found.where("block < 0").select("blob").collect():
+            many = min(ROUNDS[k], ranges)
+            for r in range(many):
+                mine = range(r * ranges // many, (r + 1) * ranges // many)
+                found = _hold(_ask(blocks, above, k, ranges, mine, bits), k, ranges, mine, bits)
+                paths.append(workspace(spark, f"order-{k}"))
+                found.write.partitionBy("kind").parquet(paths[-1])
+                found = spark.read.schema(found.schema).parquet(paths[-1])
+                told.append(found.where(F.col("kind") == _OTHER).drop("kind"))
+                owned.append(found.where(F.col("kind") == _OWN).drop("kind"))
+                for x in found.where(F.col("kind") == _STATS).select("blob").collect():
                     stats[k] = stats.get(k, 0) + np.frombuffer(x["blob"], np.int64).reshape(2, 7)
+            for path in used:  # what only this order took
+                removed(spark, f"{path}/kind={_OWN}")
 
         def each(mine, answers):
             out = []
             for r in mine.to_pylist():
-                block = _Block(*(r[c] for c in _PACKED))
-                p = block.log10_p({k: _answer(answers, k) for k in range(1, ORDER + 1)}, stats, np.frombuffer(r["spelled"], np.float32).astype(float))
-                found = np.frombuffer(r["found"], np.int64).reshape(len(names), -1)
+                block = _Block(*(r[c] for c in _PACKED), bits)
+                p = block.log10_p({k: _answer(answers, k, _FIRST if k == ORDER else _ROWS) for k in range(1, ORDER + 1)}, {k: s[1 - r["half"]] for k, s in stats.items()}, np.frombuffer(r["spelled"], np.float32).astype(float))
+                found = swelled(r["found"], 8 * len(names) * len(p)).view(np.int64).reshape(len(names), -1)
                 out.append(pa.table([pa.array(r["ids"], pa.int64()), pa.array(r["langs"], pa.string()), *map(pa.array, found), pa.array(block.n + 1), pa.array(p)], ["id", "lang", *names, "n_grams", "log10_p"]))
             return pa.concat_tables(out)
 
-        answers = reduce(DataFrame.unionByName, [x for level in told for x in level])
+        answers = reduce(DataFrame.unionByName, told)
         out = []
         for r in range(LAST_ROUNDS):
             mine, told = (x.where(F.pmod("block", F.lit(LAST_ROUNDS)) == r) for x in (blocks, answers))
             out.append(written(mine.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(each, _ddl(names)), "measures"))
+        for path in paths:
+            removed(spark, path)
         return reduce(DataFrame.unionByName, out)
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -748,3 +749,30 @@ def test_blocks_of_word_kn_are_packed(spark):
     frame = spark.createDataFrame([(1, "en", " ".join(f"w{k}" for k in range(30_000)))], "id long, lang string, text string")
     row = word_kn._blocks(frame, kn_rules._COLUMNS[:5], kn_rules.measures, lambda w: kn_rules.spelled(w, None)).first()
     assert len(row["spelled"]) == 4 * 30_001 and len(row["words"]) < 7.2 * 30_000
+
+
+def test_word_model_leaves_no_tables(spark, monkeypatch):
+    """Blocks lie where they are when answers come to them, hold texts of one half, and go at the end with all answers; in intervals a block asks the same as in one."""
+    monkeypatch.setattr(word_kn, "BLOCK_WORDS", 2_000)
+    monkeypatch.setattr(word_kn, "RANGE_KEYS", 1_000)
+    rng = random.Random(8)
+    rows = [(k, "en", " ".join(f"w{rng.randrange(400)}" for _ in range(60))) for k in range(200)] + [(900, "en", "long " + "zq" * 3_000)]
+    frame = spark.createDataFrame(rows, "id long, lang string, text string").repartition(2)
+    made, shuffled = [], []
+    monkeypatch.setattr(word_kn, "workspace", lambda s, name, f=word_kn.workspace: made.append(f(s, name)) or made[-1])
+    hold = word_kn._hold
+    monkeypatch.setattr(word_kn, "_hold", lambda asked, k, *a: shuffled.append((k, asked._jdf.queryExecution().executedPlan().toString().count("Exchange"))) or hold(asked, k, *a))
+    found = word_kn.scored(frame, kn_rules._COLUMNS[:5], kn_rules.measures, lambda w: kn_rules.spelled(w, None))
+    p = {r["id"]: r["log10_p"] for r in found.collect()}
+    assert len(p) == 201 and all(math.isfinite(x) for x in p.values()) and p[900] < -3_000
+    assert len(made) > 5 and not any(os.path.exists(x.removeprefix("file:")) for x in made)
+    assert {k for k, _ in shuffled} == {1, 2, 3} and all(n <= (k < 3) for k, n in shuffled)
+    blocks = word_kn._blocks(frame, kn_rules._COLUMNS[:5], kn_rules.measures, lambda w: kn_rules.spelled(w, None)).collect()
+    assert {r["half"] for r in blocks} == {0, 1}
+    block = word_kn._Block(blocks[0]["counts"], blocks[0]["words"], blocks[0]["tokens"], 48)
+    above = np.ones((1, len(block.asked(3, None)[0])), np.int64)
+    for k, answers in ((3, None), (2, above), (1, np.ones((1, len(block.asked(2, above)[0])), np.int64))):
+        keys, counts = block.asked(k, answers)
+        parts = [block.asked(k, answers, a, b) for a, b in ((0, 1 << 62), (1 << 62, 3 << 61), (3 << 61, 1 << 64))]
+        assert np.concatenate([x for x, _ in parts]).tolist() == keys.tolist()
+        assert np.concatenate([np.stack(c) for _, c in parts], axis=1).tolist() == np.stack(counts).tolist()
