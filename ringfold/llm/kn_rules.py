@@ -40,17 +40,19 @@ _MARK[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 def four_grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """The four-grams of a chunk's texts, each text's last the one of its end, and where each text's begin."""
     n = len(w.counts)
-    line = np.full(len(w.data) + 4 * n, BEGIN, dtype=np.int64)
-    sizes = np.diff(w.edges)
-    line[np.arange(len(w.data)) + 4 * np.repeat(np.arange(n), sizes) + 3] = _SYMBOL[w.data]
+    starts = w.edges[:-1] + 4 * np.arange(n)
     lasts = w.edges[1:] + 4 * np.arange(n) + 3
+    own = np.ones(len(w.data) + 4 * n, dtype=bool)
+    for k in range(3):
+        own[starts + k] = False
+    line = np.full(len(own), BEGIN, dtype=np.int32)
+    own[lasts] = False
+    line[own] = _SYMBOL.astype(np.int32)[w.data]
+    own[lasts] = True
     line[lasts] = END
     keys = line.copy()
     for k in range(1, ORDER):
-        keys[k:] |= line[:-k] << (BITS * k)
-    own = np.ones(len(line), dtype=bool)
-    for k in range(3):
-        own[w.edges[:-1] + 4 * np.arange(n) + k] = False
+        keys[k:] |= line[:-k] << np.int32(BITS * k)
     return keys[own], w.edges[:-1] + np.arange(n)
 
 
@@ -117,7 +119,8 @@ class KneserNey:
 
 def train(docs: DataFrame, text_col: str = "text") -> KneserNey | None:
     """The model of all texts; its counts are under 2**24 rows. None if there are no rows."""
-    found = count_grams(docs, text_col).toArrow()
+    with word_kn.shuffles_dropped(docs.sparkSession):
+        found = count_grams(docs, text_col).toArrow()
     return KneserNey.of(found.column("gram").to_numpy(), found.column("n").to_numpy()) if len(found) else None
 
 
@@ -127,7 +130,7 @@ _SIZE = np.maximum(np.bincount(_SYMBOL, minlength=64), 1)
 def spelled(w: Words, model: KneserNey | None) -> np.ndarray:
     """The log10 probability of each text's bytes and its end, where the bytes of a symbol are alike."""
     grams, firsts = four_grams(w)
-    grams, at = np.unique(grams.astype(np.int32), return_inverse=True)
+    grams, at = np.unique(grams, return_inverse=True)
     p = model.p(grams.astype(np.int64)) if model else np.full(len(grams), 1.0 / (1 << BITS))
     return np.add.reduceat(np.log10(p / _SIZE[grams & 63])[at], firsts)
 
@@ -135,11 +138,11 @@ def spelled(w: Words, model: KneserNey | None) -> np.ndarray:
 _COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_grams", "log10_p")
 
 
-def measures(w: Words, texts: pa.Array) -> list[np.ndarray]:
+def measures(w: Words, texts: pa.Array, hashes: np.ndarray) -> list[np.ndarray]:
     """The first five of _COLUMNS for a chunk of texts."""
-    per_text = lambda flags: np.diff(np.r_[0, np.cumsum(flags, dtype=np.int64)][w.edges])
-    chars = per_text(w.ink & ((w.data & 0xC0) != 0x80))
-    h = windows(w.hashes(), 8, base=0xE7037ED1A0B428DB)
+    per_text = lambda flags: np.diff(np.searchsorted(np.flatnonzero(flags), w.edges))
+    chars = np.diff(np.r_[0, np.cumsum(w.ends - w.starts)][w.first]) - per_text((w.data & 0xC0) == 0x80)
+    h = windows(hashes, 8, base=0xE7037ED1A0B428DB)
     good = np.flatnonzero(whole(w.first, w.counts, 8, len(h)))
     key = h[good] ^ (w.rows()[good].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     number = word_kn.numbered(key)[1]

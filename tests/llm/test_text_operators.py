@@ -751,6 +751,22 @@ def test_blocks_of_word_kn_are_packed(spark):
     assert len(row["spelled"]) == 4 * 30_001 and len(row["words"]) < 7.2 * 30_000
 
 
+def test_records_of_word_kn_are_small():
+    """Counts of two-grams take under 0.35 bytes each, also in pieces; all bits of words' hashes vary, so that those of n-grams do."""
+    rng = np.random.default_rng(5)
+    kinds = np.array([[1, 1, 0, 0, 0], [0, 1, 0, 0, 0], [1, 0, 1, 0, 0], [2, 2, 0, 0, 0], [0, 0, 0, 1, 3], [300, 254, 255, 256, 10**12]])
+    rows = list(kinds[rng.choice(6, 20_000, p=[0.85, 0.06, 0.04, 0.03, 0.0199, 0.0001])].T.copy())
+    edges = [0, 0, 7, 9_000, 20_000]
+    assert len(word_kn._small(rows)) < 0.35 * 20_000
+    pieces = [word_kn._counts(x, 5, b - a) for x, a, b in zip(word_kn._smalls(rows, edges), edges, edges[1:], strict=False)]
+    assert np.concatenate(pieces, axis=1).tolist() == np.stack(rows).tolist()
+    keys = np.sort(rng.integers(0, 1 << 52, 9_000, dtype=np.uint64))
+    assert word_kn._unpacked(word_kn._packed(keys), 9_000).tolist() == keys.tolist()
+    words = np.sort(rng.integers(0, 1 << 48, 500, dtype=np.uint64))
+    block = word_kn._Block(np.array([500]).tobytes(), word_kn.pack(words), word_kn.squeezed(np.arange(500, dtype=np.uint32).view(np.uint8).reshape(-1, 4).T), 64)
+    assert len(np.unique(block.words & np.uint64(0xFFFF))) > 450
+
+
 def test_word_model_leaves_no_tables(spark, monkeypatch):
     """Blocks lie where they are when answers come to them, hold texts of one half, and go at the end with all answers; in intervals a block asks the same as in one."""
     monkeypatch.setattr(word_kn, "BLOCK_WORDS", 2_000)
