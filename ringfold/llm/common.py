@@ -86,6 +86,25 @@ def give_back() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+@contextlib.contextmanager
+def reused():
+    """Within it one of Spark's Python workers keeps freed arrays of up to 32 MB for the next ones, which saves the system's
+    clearing of each page; at the end it gives them back. Elsewhere nothing changes."""
+    libc = None
+    if "pyspark.worker" in sys.modules:
+        with contextlib.suppress(OSError, AttributeError):
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 256 << 20)  # M_TRIM_THRESHOLD
+    try:
+        yield
+    finally:
+        if libc:
+            libc.mallopt(-3, 1 << 20)
+            libc.mallopt(-1, 128 << 10)
+            libc.malloc_trim(0)
+
+
 def fields(of: DataFrame, name: str, before: str = "", after: str = "") -> StructType:
     """A schema with the column `name` of a table between others; other names may hold anything."""
     parts = lambda ddl: StructType.fromDDL(ddl).fields if ddl else []

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import word_kn
-from .common import Words, chunks, whole, windows, written
+from .common import Words, chunks, reused, whole, windows, written
 
 ORDER, BITS, BEGIN, END = 4, 6, 0, 1
 #: Mean log10 probabilities are counted in bins of this width for the bands.
@@ -61,9 +61,10 @@ def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(1 << BITS * ORDER, np.int64)
-        for b in batches:
-            for _, part in chunks(b.column(0)):
-                np.add.at(n, four_grams(Words(part))[0], 1)
+        with reused():
+            for b in batches:
+                for _, part in chunks(b.column(0)):
+                    np.add.at(n, four_grams(Words(part))[0], 1)
         grams = np.flatnonzero(n)
         n = n[grams]
         yield pa.record_batch([pa.array(grams.astype(np.int32)), pa.array(n)], ["gram", "n"])

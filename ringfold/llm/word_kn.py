@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, mix, removed, whole, windows, workspace, written
+from .common import Words, chunks, mix, removed, reused, whole, windows, workspace, written
 from .substring_dedup import pack, squeezed, swelled, unpack
 
 ORDER = 3
@@ -339,28 +339,29 @@ def _blocks(rows: DataFrame, names: tuple[str, ...], measures: Callable, spelled
             types = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()), *[pa.binary()] * 5]
             return pa.record_batch([pa.array([v[0].to_pylist()] if k in ("ids", "langs") else v, t) for (k, v), t in zip(out.items(), types, strict=True)], list(out))
 
-        for b in batches:
-            for start, part in chunks(b.column(2)):
-                w = Words(part)
-                h = w.hashes()
-                half, found = halves(w, h), measures(w, part, h)
-                h = h >> _WORD_DROP << _WORD_DROP
-                of = np.repeat(half, w.counts)
-                for f in np.unique(half).tolist():
-                    texts, mine = np.flatnonzero(half == f), np.flatnonzero(of == f)
-                    at = mine[firsts(h[mine])]
-                    known = h[at]
-                    sizes = (w.ends - w.starts)[at]
-                    edges = np.r_[0, np.cumsum(sizes)]
-                    data = w.data[np.arange(edges[-1]) + np.repeat(w.starts[at] - edges[:-1], sizes)]
-                    own = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
-                    cut = lambda k: b.column(k).slice(start, len(part)).take(pa.array(texts))  # noqa: B023, E731
-                    held[f].append((cut(0), cut(1), [x[texts] for x in found], h[mine], known, own))
-                    if sum(len(x[3]) for x in held[f]) >= enough:
-                        yield flush(f)
-        for f in (0, 1):
-            if held[f]:
-                yield flush(f)
+        with reused():
+            for b in batches:
+                for start, part in chunks(b.column(2)):
+                    w = Words(part)
+                    h = w.hashes()
+                    half, found = halves(w, h), measures(w, part, h)
+                    h = h >> _WORD_DROP << _WORD_DROP
+                    of = np.repeat(half, w.counts)
+                    for f in np.unique(half).tolist():
+                        texts, mine = np.flatnonzero(half == f), np.flatnonzero(of == f)
+                        at = mine[firsts(h[mine])]
+                        known = h[at]
+                        sizes = (w.ends - w.starts)[at]
+                        edges = np.r_[0, np.cumsum(sizes)]
+                        data = w.data[np.arange(edges[-1]) + np.repeat(w.starts[at] - edges[:-1], sizes)]
+                        own = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+                        cut = lambda k: b.column(k).slice(start, len(part)).take(pa.array(texts))  # noqa: B023, E731
+                        held[f].append((cut(0), cut(1), [x[texts] for x in found], h[mine], known, own))
+                        if sum(len(x[3]) for x in held[f]) >= enough:
+                            yield flush(f)
+            for f in (0, 1):
+                if held[f]:
+                    yield flush(f)
 
     return rows.select("id", "lang", "text").mapInArrow(each, "block long, half int, places long, ids array<long>, langs array<string>, found binary, counts binary, words binary, tokens binary, spelled binary")
 
@@ -393,10 +394,13 @@ def _ask(blocks: DataFrame, above: DataFrame | None, k: int, ranges: int, rounds
     def each(batches):
         for b in batches:
             for block, half, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                yield pa.record_batch(table(list(of(block, half, row, None))), names)
+                with reused():
+                    out = list(of(block, half, row, None))
+                yield pa.record_batch(table(out), names)
 
     def met(mine, told):
-        out = [x for r in mine.to_pylist() for x in of(r["block"], r["half"], [r[c] for c in _PACKED], _answer(told, k + 1, 1))]
+        with reused():
+            out = [x for r in mine.to_pylist() for x in of(r["block"], r["half"], [r[c] for c in _PACKED], _answer(told, k + 1, 1))]
         return pa.Table.from_arrays(table(out), names)
 
     own = blocks.select("block", "half", *_PACKED)
@@ -443,7 +447,11 @@ def _hold(asked: DataFrame, k: int, ranges: int, rounds: range, bits: int) -> Da
         told.append((_STATS, -1, k, part, 0, np.array(stats, np.int64).tobytes()))
         return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*told, strict=True), types, strict=True)], names)
 
-    return asked.repartitionById(len(rounds), "part").groupBy("part").applyInArrow(hold, "kind int, block long, k int, part int, n long, blob binary")
+    def held(table):
+        with reused():
+            return hold(table)
+
+    return asked.repartitionById(len(rounds), "part").groupBy("part").applyInArrow(held, "kind int, block long, k int, part int, n long, blob binary")
 
 
 @contextlib.contextmanager
@@ -498,6 +506,10 @@ def scored(rows: DataFrame, names: tuple[str, ...], measures: Callable, spelled:
                         stats[k] = stats.get(k, 0) + np.frombuffer(x["blob"], np.int64).reshape(2, 7)
 
         def each(mine, answers):
+            with reused():
+                return judged(mine, answers)
+
+        def judged(mine, answers):
             out = []
             for r in mine.to_pylist():
                 block = _Block(*(r[c] for c in _PACKED), bits)
